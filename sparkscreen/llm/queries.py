@@ -20,6 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def files_of(docs: DataFrame) -> DataFrame:
+    """Documents as files: the source is the top directory, two levels follow from the
+    id, and a document that begins with a licensing line is its directory's LICENSE."""
+    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+    name = F.when(first.rlike("(?i)licen[sc]e|rights reserved"), F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 40).cast("string"), name)
+    return docs.select("doc_id", path.alias("path"), "text")
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    found = license_scan(files_of(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "licence", "basis", F.round("own_score", 6).alias("own_score"), "from_directory")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -52,6 +68,12 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secret_digests
+
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_crf as crf
 
@@ -107,10 +129,43 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def _op1_sql() -> str:
+    from .license_scan import LIKE, TEMPLATES, template_terms
+
+    counted = template_terms(TEMPLATES)
+    rows = ", ".join(f"({i}, '{name}', '{t}', {c})" for i, (name, counts) in enumerate(counted) for t, c in counts.items())
+    terms = "list_filter(string_split_regex(" + _LOWER.format("{}") + ", '[^a-z0-9]+'), lambda w: w <> '')"
+    return rf"""
+WITH tpl(place, name, term, c) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, 'unknown') || '/' || CAST(floor(doc_id / 1000) AS BIGINT) || '/' || CAST(floor(doc_id / 40) AS BIGINT) AS dir,
+      regexp_matches(string_split(coalesce(text, ''), chr(10))[1], '(?i)licen[sc]e|rights reserved') AS is_file FROM documents),
+df AS (SELECT term, count(*) AS df FROM (SELECT r, unnest(list_distinct({terms.format("text")})) AS term FROM d) WHERE term IN (SELECT term FROM tpl) GROUP BY term),
+nn AS (SELECT count(*) AS n FROM d),
+idf AS (SELECT DISTINCT term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM tpl LEFT JOIN df USING (term), nn),
+norm AS (SELECT place, name, sqrt(sum(c * idf * c * idf)) AS norm FROM tpl JOIN idf USING (term) GROUP BY place, name),
+units AS (SELECT r, row_number() OVER () AS u, terms FROM (
+    SELECT r, {terms.format("line")} AS terms FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+    UNION ALL SELECT r, {terms.format("text")} FROM d WHERE is_file)),
+tf AS (SELECT r, u, term, count(*) AS tf FROM (SELECT r, u, unnest(terms) AS term FROM units) GROUP BY r, u, term),
+sq AS (SELECT u, sqrt(sum(tf * coalesce(idf, ln(1 + n) + 1) * tf * coalesce(idf, ln(1 + n) + 1))) AS len FROM tf LEFT JOIN idf USING (term), nn GROUP BY u),
+dots AS (SELECT r, u, place, sum(tf * idf * c * idf) AS dot FROM tf JOIN tpl USING (term) JOIN idf USING (term) GROUP BY r, u, place),
+cos AS (SELECT r, place, round(dot / (len * norm), 9) AS score FROM dots JOIN sq USING (u) JOIN norm USING (place)),
+best AS (SELECT r, place, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, place) AS k FROM cos) WHERE k = 1 AND score >= {LIKE}),
+found AS (SELECT d.r, doc_id, dir, is_file, best.place, best.score FROM d LEFT JOIN best USING (r)),
+declared AS (SELECT dir AS from_directory, place AS dplace FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, place) AS k FROM found WHERE is_file AND place IS NOT NULL) WHERE k = 1),
+up AS (SELECT dir, k, array_to_string(string_split(dir, '/')[1:k], '/') AS from_directory FROM (SELECT DISTINCT dir, unnest([1, 2, 3]) AS k FROM d)),
+inh AS (SELECT dir, from_directory, dplace FROM (SELECT up.*, dplace, row_number() OVER (PARTITION BY dir ORDER BY k DESC) AS o FROM up JOIN declared USING (from_directory)) WHERE o = 1)
+SELECT doc_id, (SELECT name FROM norm WHERE norm.place = coalesce(found.place, dplace)) AS licence,
+       CASE WHEN found.place IS NOT NULL THEN 'own' WHEN dplace IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis,
+       round(score, 6) AS own_score, CASE WHEN found.place IS NULL THEN from_directory END AS from_directory
+FROM found LEFT JOIN inh USING (dir)
+"""
+
+
 def queries() -> dict[str, Query]:
-    own = [op2_decontaminate, op3_token_store, op4_ngram_join, op5_token_counts, op6_top_k, op8_quality_crf, op9_bpe_automaton]
+    own = [op1_license_scan, op2_decontaminate, op3_token_store, op4_ngram_join, op5_token_counts, op6_top_k, op7_secret_scan, op8_quality_crf, op9_bpe_automaton]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op4_ngram_join": OP4_SQL, "op6_top_k": OP6_SQL}
+    return {"op1_license_scan": _op1_sql(), "op2_decontaminate": OP2_SQL, "op4_ngram_join": OP4_SQL, "op6_top_k": OP6_SQL}
