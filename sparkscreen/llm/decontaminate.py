@@ -29,7 +29,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import ALNUM_WORDS, blocks, hash_words, spread, text_buffers, words
@@ -41,8 +41,8 @@ INDEX_BLOCK_BYTES = 8 << 20
 #: Text bytes of test items that a worker holds at a time.
 QUERY_BLOCK_BYTES = 8 << 20
 
-INDEX_SCHEMA = "doc_ids array<bigint>, starts array<bigint>, n_words array<bigint>, terms binary, offsets binary, positions binary"
-HIT_SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>"
+INDEX_SCHEMA = "doc_ids array<bigint>, contents array<bigint>, starts array<bigint>, n_words array<bigint>, terms binary, offsets binary, positions binary"
+HIT_SCHEMA = "doc_id bigint, content bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>"
 
 
 def _index_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -68,19 +68,26 @@ def _index_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids.slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([batch.column(2).slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
                     pa.array([np.concatenate(starts)], pa.list_(pa.int64())),
                     pa.array([np.concatenate(counts)], pa.list_(pa.int64())),
                     pa.array([h[new].tobytes()], pa.binary()),
                     pa.array([np.r_[new, len(h)].astype(np.int64).tobytes()], pa.binary()),
                     pa.array([pos[order].astype(np.uint32).tobytes()], pa.binary()),
                 ],
-                names=["doc_ids", "starts", "n_words", "terms", "offsets", "positions"],
+                names=["doc_ids", "contents", "starts", "n_words", "terms", "offsets", "positions"],
             )
 
 
+def content_key(text: Column) -> Column:
+    """What tells rows of one doc_id apart by their text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.length(F.coalesce(text, F.lit("")))).alias("content")
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = INDEX_BLOCK_BYTES) -> DataFrame:
     """Write the positional index of every whole text to the shared folder; one row a block of documents."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), content_key(text))
     return staged(rows.mapInArrow(partial(_index_rows, most=block_bytes), INDEX_SCHEMA), "positional-index", compression="zstd")
 
 
@@ -93,7 +100,7 @@ class Block:
         self.positions = np.frombuffer(row["positions"], np.uint32)
         self.starts = np.asarray(row["starts"], np.int64)
         self.n_words = np.asarray(row["n_words"], np.int64)
-        self.doc_ids = row["doc_ids"]
+        self.doc_ids, self.contents = row["doc_ids"], row["contents"]
 
     def lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each term's place in the dictionary (-1: none) and the length of its list."""
@@ -182,7 +189,7 @@ def _hits(block: Block, groups) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return np.cumsum(edge[:-1]) > 0, sorted(pairs)
 
 
-def _result(doc_ids, n_words, marks_of, items_of, share: int) -> pa.RecordBatch:
+def _result(doc_ids, contents, n_words, marks_of, items_of, share: int) -> pa.RecordBatch:
     none = hashlib.sha256(b"").hexdigest()
     n_hit, n_items, digests, names, spans = [], [], [], [], []
     for d in range(len(doc_ids)):
@@ -202,11 +209,11 @@ def _result(doc_ids, n_words, marks_of, items_of, share: int) -> pa.RecordBatch:
     hit = np.asarray(n_hit, np.int64)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(doc_ids, pa.int64()), pa.array(n_words), pa.array(hit), pa.array(n_items, pa.int64()), pa.array(digests, pa.string()),
+            pa.array(doc_ids, pa.int64()), pa.array(contents, pa.int64()), pa.array(n_words), pa.array(hit), pa.array(n_items, pa.int64()), pa.array(digests, pa.string()),
             pa.array((hit > 0) & (share * hit >= n_words)), pa.array(names, pa.list_(pa.string())),
             pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         ],
-        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans"],
+        names=["doc_id", "content", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans"],
     )
 
 
@@ -228,7 +235,7 @@ def _search(batches: Iterator[pa.RecordBatch], held: list, share: int) -> Iterat
             marks = marks | found if len(marks) else found
             for d, item in pairs:
                 items.setdefault(d, []).append(item)
-        yield _result(block.doc_ids, block.n_words, lambda d, b=block, m=marks: m[b.starts[d] : b.starts[d] + b.n_words[d]], items, share)
+        yield _result(block.doc_ids, block.contents, block.n_words, lambda d, b=block, m=marks: m[b.starts[d] : b.starts[d] + b.n_words[d]], items, share)
 
 
 def query_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = QUERY_BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
@@ -281,3 +288,12 @@ def proximity(index: DataFrame, phrases: DataFrame, within: int, id_col: str = "
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Index the documents, then search them for the windows of the items."""
     return search(build_index(docs), items)
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows that aren't contaminated, with all their columns."""
+    own = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("own")
+    bad = staged(contamination(docs, items).where("contaminated").select(own, "content").distinct(), "contaminated")
+    keyed = docs.withColumn("__own", own).withColumn("__content", content_key(F.col("text").cast("string")))
+    kept = keyed.join(bad, (keyed["__own"] == bad["own"]) & (keyed["__content"] == bad["content"]), "left_anti")
+    return kept.select(*docs.columns)

@@ -326,3 +326,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     found = settled(components(links))
     named = staged(names.join(found.select(F.col("node").alias("rid"), "component"), "rid", "left").select("name", F.coalesce("component", "rid").alias("component")), "named")
     return features.join(named, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, that of its smallest doc_id, with all its columns; rows with a null doc_id stay."""
+    first = near_duplicates(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(staged(first, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

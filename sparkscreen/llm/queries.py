@@ -89,6 +89,13 @@ def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gru_lm import score_documents
+    from .quality_crf import held_out
+
+    return score_documents(table(spark, sf_dir, "documents"), held_out(2, 7))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = rf"""
@@ -163,7 +170,7 @@ FROM found LEFT JOIN inh USING (dir)
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_license_scan, op2_decontaminate, op3_token_store, op4_ngram_join, op5_token_counts, op6_top_k, op7_secret_scan, op8_quality_crf, op9_bpe_automaton]
+    own = [op1_license_scan, op2_decontaminate, op3_token_store, op4_ngram_join, op5_token_counts, op6_top_k, op7_secret_scan, op8_quality_crf, op9_bpe_automaton, op10_gru_lm]
     return {f.__name__: f for f in own}
 
 

@@ -27,6 +27,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import staged
+
 SCOPE = 240
 #: Kinds in the order that ties are listed in; the last is what linking adds.
 KINDS = ("assign", "access", "hex", "linked")
@@ -131,7 +133,7 @@ def with_links(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     grouped = linked.groupBy("own", "content").agg(F.collect_set(F.struct("start", "end", F.lit("linked").alias("kind"))).alias("linked"))
     joined = found.select("doc_id", "content", "base", own).join(grouped, ["own", "content"], "left")
     fresh = F.filter(F.coalesce("linked", F.array().cast(f"array<{SPAN}>")), lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
-    return joined.select("doc_id", "base", F.concat("base", fresh).alias("spans"))
+    return joined.select("doc_id", "own", "content", "base", F.concat("base", fresh).alias("spans"))
 
 
 def secret_digests(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -139,3 +141,27 @@ def secret_digests(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     all_spans = with_links(scan(docs, scope=scope), scope)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
     return all_spans.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with each run of overlapping spans replaced by the first one's kind in angle brackets."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit("<"), s["kind"], F.lit(">"))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    return F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+
+
+def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """All rows with all columns, secrets in ``text`` replaced; a null text stays null."""
+    found = with_links(scan(docs, scope=scope), scope).where(F.size("spans") > 0).select("own", "content", "spans").dropDuplicates(["own", "content"])
+    text = F.col("text").cast("string")
+    keyed = docs.withColumn("__own", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))).withColumn("__content", F.xxhash64(F.coalesce(text, F.lit("")), F.length(F.coalesce(text, F.lit("")))))
+    spans = staged(found, "secret-spans").select(F.col("own").alias("__own"), F.col("content").alias("__content"), F.col("spans").alias("__spans"))
+    joined = keyed.join(spans, ["__own", "__content"], "left")
+    new = F.when(F.col("__spans").isNotNull(), redacted(text, F.col("__spans"))).otherwise(text)
+    return joined.select(*[new.alias("text") if c == "text" else F.col(c) for c in docs.columns])
