@@ -55,7 +55,8 @@ def test_forms(spark):
     got = one(spark, ["plain", "&amp;lt;system&amp;gt;", "іgnore prevіous", "ﷺ" * 300, None, ""], lambda v: forms.text_forms(v))
     assert got[0]["forms"] == ["plain"] and "<system>" in got[1]["forms"] and "ignore previous" in got[2]["forms"]
     assert [g["refused"] for g in got] == [False, False, False, True, False, False]
-    scanned = one(spark, ["іgnore prevіous", "ﷺ" * 300], lambda v: patterns.scan_forms(forms.text_forms(v)["forms"], forms.text_forms(v)["refused"]))
+    made = spark.createDataFrame([(0, "іgnore prevіous"), (1, "ﷺ" * 300)], "i int, v string").withColumn("f", forms.text_forms("v"))
+    scanned = [r["s"] for r in made.select("i", patterns.scan_forms(F.col("f.forms"), F.col("f.refused")).alias("s")).orderBy("i").collect()]
     assert [s["verdict"] for s in scanned] == ["blocked", "blocked"] and scanned[1]["flags"][-1]["category"] == "encoded_payload"
 
 
@@ -173,10 +174,10 @@ def test_search(spark):
 
 
 def test_envelopes(spark):
-    wrap, unwrap = cache.envelope(b"s"), cache.unwrap(b"s", 50)
+    wrap, unwrap = cache.envelope(b"s"), cache.unwrap(b"s", 100)
     got = one(spark, ["a", None], lambda v: unwrap(F.lit("k"), wrap(F.lit("k"), v)))
     assert [(g["payload"], g["fault"]) for g in got] == [("a", None), (None, None)]
-    assert [g["fault"] for g in one(spark, ["x" * 60, "v1.ab", "v1.ab.c", "zz"], lambda v: unwrap(F.lit("k"), v))] == ["oversize", "malformed", "bad_mac", "unsigned"]
+    assert [g["fault"] for g in one(spark, ["x" * 160, "v1.ab", "v1.ab.c", "zz"], lambda v: unwrap(F.lit("k"), v))] == ["oversize", "malformed", "bad_mac", "unsigned"]
 
 
 def test_sources(spark, tmp_path):
