@@ -12,7 +12,8 @@ their overlap is at least ``percent`` of their union.  Every link is found:
 4. Groups that still join different components are dealt out in tiles: by size band, as
    linked sets differ in size by a quarter at most, and by blocks of ``TILE_ROWS``, so
    a large group is many tasks.  In a tile, bit counts of hashed parity bitmaps
-   bound the overlap from above, and only pairs that may reach it are kept.
+   bound the overlap from above, and only pairs that may reach it are kept; those
+   are bounded once more by bitmaps as wide as the sets are large.
 5. Kept pairs are decided by intersecting the sorted arrays themselves.
 
 No text is stored: sets are made again from the texts of those documents that a pair
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import SPACED_WORDS, blocks, mixed, rolling, sequence_hash, text_buffers, words
 from .graph import components, settled
-from .shared import staged
+from .shared import Scratch, staged
 
 WIDTH, PERCENT = 5, 80
 BITMAP_BITS = 1024
@@ -47,8 +48,10 @@ COMMON_SHARE, COMMON_LEAST = 0.004, 24
 COMMON_KEPT = 1 << 18
 TILE_ROWS = 1024
 BLOOM_BITS = 1 << 25
+#: Rows that a Python worker gets at once: pairs with wide bitmaps, pairs with whole sets.
+WIDE_ROWS, SET_ROWS = 256, 32
 
-FEATURES = "doc_id bigint, n bigint, name binary, prefix array<bigint>, bitmap binary"
+FEATURES = "doc_id bigint, n bigint, name binary, prefix array<bigint>, bitmap binary, wide binary"
 
 
 def sets_of(raw: np.ndarray, offs: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -122,32 +125,47 @@ def common_grams(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in top.select("gram").collect()], np.int64).view(np.uint64))
 
 
-def parity_bitmap(s: np.ndarray) -> bytes:
-    """A bit is set when an odd number of members hash to it; two bitmaps differ in no more bits than the sets in members."""
-    k = (mixed(s ^ np.uint64(0xA5A5A5A55A5A5A5A)) >> np.uint64(40)) & np.uint64(BITMAP_BITS - 1)
-    return np.packbits((np.bincount(k.astype(np.int64), minlength=BITMAP_BITS) & 1).astype(bool)).tobytes()
+def parity_bitmap(s: np.ndarray, bits: int = BITMAP_BITS) -> bytes:
+    """A bit is set when an odd number of members hash to it; two bitmaps differ in no
+    more bits than the sets in members.  ``bits`` is a power of two; the halves of a
+    bitmap, joined by exclusive or, are the bitmap of half as many bits."""
+    k = (mixed(s ^ np.uint64(0xA5A5A5A55A5A5A5A)) >> np.uint64(8)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(k.astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, the wider one folded to the other's width."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
 def _features(batches: Iterator[pa.RecordBatch], common, width: int, percent: int) -> Iterator[pa.RecordBatch]:
     late = Members(common.value)
     for batch in batches:
         raw, offs = text_buffers(batch.column(1))
-        n, names, prefixes, bitmaps = [], [], [], []
+        n, names, prefixes, bitmaps, wide = [], [], [], [], []
         for s in sets_of(raw, offs, width):
             n.append(len(s))
             if not len(s):
                 names.append(b"")
                 prefixes.append(np.zeros(0, np.int64))
                 bitmaps.append(b"")
+                wide.append(b"")
                 continue
             names.append(blake2b(s.tobytes(), digest_size=16).digest())
             is_late = late(s)
             ordered = np.concatenate([s[~is_late], s[is_late]]) if is_late.any() else s
             prefixes.append(ordered[: prefix_length(len(s), percent)].view(np.int64))
             bitmaps.append(parity_bitmap(s))
+            # As wide as the set is large, or unrelated long documents would look near.
+            wide.append(parity_bitmap(s, max(BITMAP_BITS, 1 << (len(s) - 1).bit_length())))
         edge = np.cumsum([0] + [len(p) for p in prefixes]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), lists, pa.array(bitmaps, pa.binary())], names=["doc_id", "n", "name", "prefix", "bitmap"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), lists, pa.array(bitmaps, pa.binary()), pa.array(wide, pa.binary())], names=["doc_id", "n", "name", "prefix", "bitmap", "wide"])
 
 
 def bloom_of(ids: DataFrame) -> np.ndarray:
@@ -204,13 +222,30 @@ def _decide(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield batch.filter(pa.array(yes, pa.bool_())).select([0, 1])
 
 
-def decided(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose sizes and bitmaps leave a link possible; the last four columns are n and bitmap of both."""
+    for batch in batches:
+        k = batch.num_columns - 4
+        n, m = (batch.column(i).to_numpy() for i in (k, k + 2))
+        apart = np.array([bits_apart(x, y) for x, y in zip(batch.column(k + 1).to_pylist(), batch.column(k + 3).to_pylist(), strict=True)], np.int64)
+        most = np.minimum((n + m - apart) // 2, np.minimum(n, m))
+        yield batch.filter(pa.array(100 * most >= percent * (n + m - most), pa.bool_())).select(list(range(k)))
+
+
+def possible(pairs: DataFrame, sizes: DataFrame, percent: int, bitmap: str = "bitmap") -> DataFrame:
+    """Those pairs (a, b, …) of classes that sizes and bitmaps don't rule out."""
+    end = lambda c: sizes.select(F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col(bitmap).alias(f"bitmap_{c}"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b").select(*pairs.columns, "n_a", "bitmap_a", "n_b", "bitmap_b")
+    return both.mapInArrow(partial(_possible, percent=percent), pairs.schema)
+
+
+def decided(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """Those pairs (a, b) of doc_ids whose sets are linked, by exact intersection."""
     sc = docs.sparkSession.sparkContext
     named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bloom = sc.broadcast(bloom_of(named))
     sets = docs.where("doc_id is not null").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text").mapInArrow(partial(_sets, bloom=bloom, width=width), "id bigint, members binary")
-    sets = staged(sets, "sets", compression="zstd")
+    sets = scratch.stage(sets, "sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(partial(_decide, percent=percent), "a bigint, b bigint")
@@ -293,39 +328,55 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     common = sc.broadcast(common_grams(docs, width))
     made = docs.mapInArrow(partial(_features, common=common, width=width, percent=percent), FEATURES)
-    features = staged(made.withColumn("row", F.monotonically_increasing_id()), "features", compression="zstd")
+    scratch = Scratch(spark)
+    features = scratch.stage(made.withColumn("row", F.monotonically_increasing_id()), "features")
 
     # 1. Classes of equal sets.
     real = features.where("n > 0 and doc_id is not null")
     first_rows = real.groupBy("name").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    names = staged(first_rows.select("name", F.col("first.doc_id").alias("rid"), F.col("first.row").alias("row")), "classes")
-    classes = real.join(names.select("row", "rid"), "row").select("rid", "n", "prefix", "bitmap")
-    classes = staged(classes, "representatives", compression="zstd")
+    names = scratch.stage(first_rows.select("name", F.col("first.doc_id").alias("rid"), F.col("first.row").alias("row")), "names")
+    classes = scratch.stage(real.join(names.select("row", "rid"), "row").select("rid", "n", "prefix", "bitmap", "wide"), "classes")
+    rows = staged(features.select("doc_id", "n", "name"), "rows", compression="zstd")
+    del features, real, first_rows
+    scratch.drop("features")
 
     # 2. n-grams in the prefixes of two classes at least, each with a leader.
     grams = classes.select("rid", "n", F.explode("prefix").alias("gram"))
-    shared = staged(grams.groupBy("gram").agg(F.min("rid").alias("leader"), F.max("rid").alias("last")).where("leader < last").select("gram", "leader"), "shared")
+    shared = scratch.stage(grams.groupBy("gram").agg(F.min("rid").alias("leader"), F.max("rid").alias("last")).where("leader < last").select("gram", "leader"), "shared")
     bloom = sc.broadcast(bloom_of(shared.select("gram")))
     kept = grams.select(F.xxhash64("gram").alias("h"), "gram", "rid", "n").mapInArrow(partial(_shared_only, bloom=bloom), "gram bigint, rid bigint, n bigint")
-    postings = staged(kept, "postings", compression="zstd")
-
-    # 3. Each class with the leader that it shares most n-grams with.
-    votes = postings.join(shared, "gram").where("rid <> leader").groupBy("rid", "leader").count()
-    star = staged(votes.groupBy("rid").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader")).select(F.col("leader").alias("a"), F.col("rid").alias("b")), "star")
-    star_links = staged(decided(star, docs, width, percent), "star-links")
+    postings = scratch.stage(kept, "postings")
+    sizes = scratch.stage(classes.select("rid", "n", "bitmap", "wide"), "sizes")
+    del grams, kept, classes
+    scratch.drop("classes")
+
+    # 3. Each class with the possible leader that it shares most n-grams with.
+    votes = postings.join(shared, "gram").where("rid <> leader").groupBy(F.col("rid").alias("b"), F.col("leader").alias("a")).count()
+    likely = possible(votes.select("a", "b", "count"), sizes, percent)
+    star = scratch.stage(likely.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b"), "star")
+    del votes, likely, shared
+    scratch.drop("shared")
+    star_links = scratch.stage(decided(star, docs, width, percent, scratch), "star-links", SET_ROWS)
+    scratch.drop("sets", "star")
     first = settled(components(star_links))
 
     # 4. What still joins different components.
-    whose = classes.select("rid", "n").join(first.select(F.col("node").alias("rid"), "component"), "rid", "left").select("rid", F.coalesce("component", "rid").alias("component"))
-    of = staged(postings.join(staged(whose, "owners"), "rid"), "owned", compression="zstd")
-    live = staged(of.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram"), "live")
-    candidates = staged(tiled_pairs(of.join(live, "gram"), classes, percent), "candidates")
+    whose = sizes.select("rid").join(first.select(F.col("node").alias("rid"), "component"), "rid", "left").select("rid", F.coalesce("component", "rid").alias("component"))
+    of = scratch.stage(postings.join(scratch.stage(whose, "owners"), "rid"), "owned")
+    live = scratch.stage(of.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram"), "live")
+    near = scratch.stage(tiled_pairs(of.join(live, "gram"), sizes, percent), "near")
+    candidates = scratch.stage(possible(near, sizes, percent, "wide"), "candidates", WIDE_ROWS)
+    del postings, of, live, whose, near
+    scratch.drop("postings", "owners", "owned", "live", "near")
 
     # 5. Exact intersection, and the components of all links.
-    links = star_links.unionByName(decided(candidates, docs, width, percent))
+    more = scratch.stage(decided(candidates, docs, width, percent, scratch), "more-links", SET_ROWS)
+    links = staged(star_links.unionByName(more), "all-links")
+    scratch.drop("sets", "candidates", "sizes", "star-links", "more-links")
     found = settled(components(links))
     named = staged(names.join(found.select(F.col("node").alias("rid"), "component"), "rid", "left").select("name", F.coalesce("component", "rid").alias("component")), "named")
-    return features.join(named, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), "doc_id").alias("component_id"))
+    scratch.drop("names")
+    return rows.join(named, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +45,38 @@ def drop_staged(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """For what is written meanwhile: Arrow batches of so many rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    if rows:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+class Scratch:
+    """Intermediate tables of one computation, dropped as soon as they aren't needed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def stage(self, df: DataFrame, what: str, batch: int | None = None) -> DataFrame:
+        """``batch``: rows that go to a Python worker at once, where rows are large."""
+        self.paths[what] = staging_path(self.spark, what)
+        with batches_of(self.spark, batch):
+            return staged(df, what, self.paths[what], compression="zstd")
+
+    def drop(self, *names: str) -> None:
+        """Delete these tables, and let Spark's cleaner take the shuffle files of plans that are gone."""
+        import gc
+
+        for name in names:
+            drop_staged(self.spark, self.paths.pop(name))
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
