@@ -81,7 +81,7 @@ def jaccard_classes(rows):
     return {i: (len(sets[i]), top(i)) for i in ids}
 
 
-@pytest.mark.parametrize("tile_rows,common", [(1024, 24), (3, 24), (3, 2)])
+@pytest.mark.parametrize("tile_rows,common", [(1024, 24), (3, 2)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, tile_rows, common):
     monkeypatch.setattr(ngram_join, "TILE_ROWS", tile_rows)
     monkeypatch.setattr(ngram_join, "COMMON_LEAST", common)
@@ -183,11 +183,11 @@ def test_weak_parts_need_a_complement(spark):
 def test_license_scan(spark):
     files = [
         ("r/LICENSE", "Released under the MIT License"), ("r/a/x.py", "print(1)"), ("r/a/LICENSE.txt", "Licensed under the Apache License, Version 2.0."), ("r/a/b/y.py", "no header"),
-        ("r/a/b/z.py", "code\nmore\nThis work is licensed under the GNU General Public License, version 3.\nend"), ("s/t.py", "nothing"), (None, "orphan"), ("r/c/n.py", None), ("r/c/NOTICE", "all RIGHTS reserved"),
+        ("r/a/b/z.py", "code\nmore\nThis work is licensed under the GNU General Public License, version 3.\nend"), ("s/t.py", "nothing"), (None, "orphan"), ("r/c/n.py", None), ("r/c/NOTICE", "all RIGHTS reserved"), ("r/q.py", "x"),
     ]
     df = spark.createDataFrame([(i, p, t, "d") for i, (p, t) in enumerate(files)], "doc_id long, path string, text string, place string").drop("place")
     got = {r["doc_id"]: (r["licence"], r["basis"], r["from_directory"]) for r in license_scan.license_scan(df).collect()}
-    assert got[1] == ("MIT", "inherited", "r") and got[3] == ("Apache-2.0", "inherited", "r/a")
+    assert got[9] == ("MIT", "inherited", "r") and got[1] == ("Apache-2.0", "inherited", "r/a") and got[3] == ("Apache-2.0", "inherited", "r/a")
     assert got[4] == ("GPL-3.0", "own", None) and got[5] == (None, "none", None) and got[6] == (None, "none", None)
     assert got[7] == ("Proprietary", "inherited", "r/c") and got[0][1] == "own"
 
