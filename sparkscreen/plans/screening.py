@@ -245,9 +245,6 @@ def summary_notice(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", structure.notice(structure.summary(t, F.col("doc_id") % 2 == 0)["classes"], F.lit(60)).alias("notice"))
 
 
-_LETTERS = r"regexp_replace({}, '[^\p{{L}}]', '', 'g')"
-
-
 @query(r"SELECT doc_id, round(CASE WHEN len(d) > 0 THEN len(regexp_replace(d, '[^\p{L}]', '', 'g')) / len(d)::DOUBLE ELSE 0 END, 6) AS share FROM (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS d FROM documents)")
 def alpha_share(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.round(text.alpha_share(F.col("text")), 6).alias("share"))
@@ -265,10 +262,8 @@ def lang_vote(spark, sf_dir):
 @query("SELECT lower(role) AS role, count(*) AS n FROM conversations WHERE lower(role) IN ('assistant', 'system') GROUP BY lower(role)")
 def role_lines(spark, sf_dir):
     """Turns written as lines with their role in front: the line patterns find assistant and system."""
-    line = F.concat(F.lit("x\n"), "role", F.lit(": "), "text")
     a, s = (F.col("line").rlike(patterns.REGISTRY[i].java) for i in (8, 10))
     rows = table(spark, sf_dir, "conversations").select(F.concat(F.lit("x\n"), "role", F.lit(": ")).alias("line"))
-    del line
     return rows.select(F.when(a, "assistant").when(s, "system").alias("role")).where("role is not null").groupBy("role").agg(F.count("*").alias("n"))
 
 
