@@ -25,6 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import let
 from .shared import staged
 
 #: Least cosine of a statement.
@@ -66,9 +67,15 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def whole_terms(terms: list[str]) -> str:
+    """A pattern for these terms where they stand alone, in either case."""
+    return "(?i)(?<![a-z0-9])(?:" + "|".join(sorted(terms, key=lambda t: (-len(t), t))) + ")(?![a-z0-9])"
+
+
 def document_frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
     """Files, and files that hold each term of the vocabulary: one row a term comes back."""
-    own = files.select(F.array_intersect(terms_of(F.coalesce(F.col("text"), F.lit(""))), F.array(*map(F.lit, vocabulary))).alias("t"))
+    met = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(whole_terms(vocabulary)), F.lit(0))
+    own = files.select(F.array_distinct(F.transform(F.array_distinct(met), F.lower)).alias("t"))
     counted = own.select(F.explode(F.concat("t", F.array(F.lit("")))).alias("term")).groupBy("term").count().collect()
     found = {r["term"]: r["count"] for r in counted}
     return found.pop("", 0), found
@@ -95,18 +102,32 @@ def heavy_terms(templates, idf: dict[str, float], like: float = LIKE) -> list[st
 
 
 def likeness(words: Column, templates, idf: dict[str, float], unseen: float) -> Column:
-    """struct<score, place>: the best cosine over the templates, the first of equals."""
-    known = F.create_map(*[x for t, v in idf.items() for x in (F.lit(t), F.lit(v))])
-    counted = F.transform(F.array_distinct(words), lambda t: F.struct(t.alias("t"), F.size(F.filter(words, lambda w: w == t)).alias("n")))
-    square = F.aggregate(counted, F.lit(0.0), lambda a, x: a + F.pow(x["n"] * F.coalesce(F.try_element_at(known, x["t"]), F.lit(unseen)), F.lit(2.0)))
-    scores = []
-    for place, (_, counts) in enumerate(templates):
-        own = F.create_map(*[x for t, c in counts.items() for x in (F.lit(t), F.lit(c * idf[t] * idf[t]))])
-        norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in counts.items()))
-        dot = F.aggregate(counted, F.lit(0.0), lambda a, x: a + x["n"] * F.coalesce(F.try_element_at(own, x["t"]), F.lit(0.0)))  # noqa: B023
-        # Rounded, so that the order of a sum decides nothing.
-        scores.append(F.struct(F.when(square > 0, F.round(dot / (F.sqrt(square) * norm), 9)).otherwise(0.0).alias("score"), F.lit(-place).alias("place")))
-    return F.array_max(F.array(*scores))
+    """struct<score, place>: the best cosine over the templates, the first of equals.
+
+    Terms are counted once: those of the templates by name, and the squared length
+    over the sorted terms, where each repetition of a term adds its share.
+    """
+    vocabulary = list(idf)
+    at = {t: k for k, t in enumerate(vocabulary)}
+    known = F.create_map(*[x for t, v in idf.items() for x in (F.lit(t), F.lit(v * v))])
+
+    def step(a: Column, w: Column) -> Column:
+        run = F.when(a["last"] == w, a["run"] + 1).otherwise(1)
+        return F.struct(w.alias("last"), run.alias("run"), (a["sum"] + (2 * run - 1) * F.coalesce(F.try_element_at(known, w), F.lit(unseen * unseen))).alias("sum"))
+
+    square = F.aggregate(F.array_sort(words), F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum")), step, lambda a: a["sum"])
+    tf = F.transform(F.array(*map(F.lit, vocabulary)), lambda t: F.size(F.filter(words, lambda w: w == t)))
+
+    def best(x: Column) -> Column:
+        scores = []
+        for place, (_, counts) in enumerate(templates):
+            norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in counts.items()))
+            dot = sum((F.get(x["tf"], F.lit(at[t])) * (c * idf[t] * idf[t]) for t, c in counts.items()), F.lit(0.0))
+            # Rounded, so that the order of a sum decides nothing.
+            scores.append(F.struct(F.when(x["square"] > 0, F.round(dot / (F.sqrt(x["square"]) * norm), 9)).otherwise(0.0).alias("score"), F.lit(-place).alias("place")))
+        return F.array_max(F.array(*scores))
+
+    return let(F.struct(tf.alias("tf"), square.alias("square")), best)
 
 
 def _parent(path: Column) -> Column:
@@ -119,14 +140,15 @@ def statements(files: DataFrame, templates=TEMPLATES, like: float = LIKE) -> Dat
     vocabulary = sorted({t for _, c in counted for t in c})
     n, df = document_frequencies(files, vocabulary)
     idf, unseen = weights(n, df, vocabulary)
-    heavy = F.array(*map(F.lit, heavy_terms(counted, idf, like)))
+    heaviest = heavy_terms(counted, idf, like)
+    heavy = F.array(*map(F.lit, heaviest))
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce("path", F.lit("")), "([^/]*)$", 1), r"\..*$", ""))
     named = files.withColumn("is_licence_file", F.col("path").isNotNull() & base.isin(*LICENCE_NAMES))
     lines = F.transform(F.split(text, "\n"), terms_of)
     asked = F.concat(F.filter(lines, lambda w: F.arrays_overlap(w, heavy)), F.when(F.col("is_licence_file"), F.array(terms_of(text))).otherwise(F.array().cast("array<array<string>>")))
     # Most files hold no heavy term at all; for them no line is split.
-    some = F.arrays_overlap(terms_of(text), heavy)
+    some = text.rlike(whole_terms(heaviest))
     best = F.array_max(F.transform(F.when(some, asked).otherwise(F.array().cast("array<array<string>>")), lambda w: likeness(w, counted, idf, unseen)))
     rest = [c for c in files.columns if c != "text"]
     scored = named.select(*rest, "is_licence_file", _parent(F.col("path")).alias("directory"), best.alias("best"))
