@@ -13,7 +13,7 @@ their overlap is at least ``percent`` of their union.  Every link is found:
    linked sets differ in size by a quarter at most, and by blocks of ``TILE_ROWS``, so
    a large group is many tasks.  In a tile, bit counts of hashed parity bitmaps
    bound the overlap from above, and only pairs that may reach it are kept; those
-   are bounded once more by bitmaps as wide as the sets are large.
+   are bounded once more by bitmaps that grow with the sets.
 5. Kept pairs are decided by intersecting the sorted arrays themselves.
 
 No text is stored: sets are made again from the texts of those documents that a pair
@@ -43,7 +43,7 @@ from .shared import Scratch, staged
 WIDTH, PERCENT = 5, 80
 BITMAP_BITS = 1024
 #: An n-gram goes last in the order when one task sees it in such a share of its different sets, and in so many.
-COMMON_SHARE, COMMON_LEAST = 0.004, 24
+COMMON_SHARE, COMMON_LEAST = 0.0005, 4
 #: So many n-grams go last at most; which ones changes the work, never the links.
 COMMON_KEPT = 1 << 18
 TILE_ROWS = 1024
@@ -161,8 +161,8 @@ def _features(batches: Iterator[pa.RecordBatch], common, width: int, percent: in
             ordered = np.concatenate([s[~is_late], s[is_late]]) if is_late.any() else s
             prefixes.append(ordered[: prefix_length(len(s), percent)].view(np.int64))
             bitmaps.append(parity_bitmap(s))
-            # As wide as the set is large, or unrelated long documents would look near.
-            wide.append(parity_bitmap(s, max(BITMAP_BITS, 1 << (len(s) - 1).bit_length())))
+            # At least half as wide as the set is large, or unrelated long documents would look near.
+            wide.append(parity_bitmap(s, max(BITMAP_BITS, 1 << ((len(s) - 1) // 2).bit_length())))
         edge = np.cumsum([0] + [len(p) for p in prefixes]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), lists, pa.array(bitmaps, pa.binary()), pa.array(wide, pa.binary())], names=["doc_id", "n", "name", "prefix", "bitmap", "wide"])
