@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K, SCALE, LISTS = 5, 256.0, 4
-#: Queries of one pass, and vectors that a task scores at a time.
-QUERY_BLOCK, SHARD_ROWS = 4096, 2048
+#: Queries of one pass, and vectors that a task scores at a time: their product times LISTS is what an array holds.
+QUERY_BLOCK, SHARD_ROWS = 4096, 128
 
 BOUNDS = "query int, bound bigint"
 ENTRIES = "query_id bigint, vec_id bigint, score bigint"
