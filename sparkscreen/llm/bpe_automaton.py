@@ -28,6 +28,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -180,7 +181,7 @@ class WordBpe:
                 split.append(self.words(unit.lower()))
             else:
                 split.append(self.words("".join([c.lower() for c in unicodedata.normalize("NFC", unit)])))
-        known = self.known_words.ready([w for words in split for w in words])
+        known = self.known_words.ready({w for words in split for w in words})
         out = []
         for words in split:
             got = [known[w] for w in words]
@@ -196,16 +197,20 @@ class WordBpe:
 
     def encode_joined(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(count, ids, decoded text) of each text, ids joined by spaces."""
-        split: list[list[str | tuple]] = []
+        split = []
+        every: set[str] = set()
         for text in texts:
-            units: list[str | tuple] = []
-            for part in self._parts(text):
-                units += [(1, str(self.special[part]), part)] if part in self.special else self.units(part)
+            parts = self._parts(text)
+            units = self.units(parts[0]) if len(parts) == 1 else [u for p in parts for u in ([p] if p in self.special else self.units(p))]
             split.append(units)
-        known = self.whole.ready([u for units in split for u in units if u.__class__ is str])
+            every.update(units)
+        # A special token is a part by itself, so as a unit it stands for itself.
+        known = self.whole.ready(every.difference(self.special))
+        if not every.isdisjoint(self.special):
+            known = known | {s: (1, str(i), s) for s, i in self.special.items()}
         out = []
         for units in split:
-            got = [known[u] if u.__class__ is str else u for u in units]
+            got = [known[u] for u in units]
             out.append((sum([g[0] for g in got]), " ".join([g[1] for g in got if g[0]]), " ".join([g[2] for g in got if g[0]])))
         return out
 
@@ -252,8 +257,10 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
     for batch in batches:
         for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
             got = own.encode_joined([x or "" for x in part.column(1).to_pylist()])
-            ids = [[int(x) for x in g[1].split()] for g in got]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            ids = np.fromstring(" ".join([g[1] for g in got]), np.int32, sep=" ")
+            edge = np.cumsum([0] + [g[0] for g in got]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(ids[: edge[-1]]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.int64()), lists, pa.array([g[2] for g in got], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -140,13 +140,16 @@ class PrefixCounter:
     def totals(self, texts: list[str]) -> list[int]:
         """Tokens of each text: the last entry of its table."""
         units = [self.units(text) for text in texts]
-        known = self.sums.ready([u for one in units for u in one])
-        return [sum([known[u] for u in one]) for one in units]
+        every: set[str] = set()
+        for one in units:
+            every.update(one)
+        get = self.sums.ready(every).__getitem__
+        return [sum(map(get, one)) for one in units]
 
     def table(self, text: str) -> list[int]:
         """count[i]: tokens of ``text[:i]``, for i from 0 to its length."""
         units = self.units(text)
-        known, out, before = self.tables.ready(units), [], 0
+        known, out, before = self.tables.ready(set(units)), [], 0
         for u in units:
             out += [before + c for c in known[u]]
             before += known[u][-1]

@@ -22,20 +22,18 @@ class UnitMemo:
         self.new: dict[str, Any] = {}
         self.old: dict[str, Any] = {}
 
-    def ready(self, units: list[str]) -> dict[str, Any]:
+    def ready(self, units: set[str]) -> dict[str, Any]:
         """A mapping that holds every one of these units."""
         new, old = self.new, self.old
-        missing = [u for u in dict.fromkeys(units) if u not in new]
+        missing = units.difference(new)
         if not missing:
             return new
-        unknown = []
-        for u in missing:
-            if u in old:
-                new[u] = old[u]
-            else:
-                unknown.append(u)
-        long = [u for u in unknown if len(u) > LONGEST_KEPT]
-        new.update(zip(unknown, self.work(unknown), strict=True))
+        unknown = missing.difference(old)
+        for u in missing.difference(unknown) if old else ():
+            new[u] = old[u]
+        todo = list(unknown)
+        new.update(zip(todo, self.work(todo), strict=True))
+        long = [u for u in todo if len(u) > LONGEST_KEPT]
         if not long and len(new) <= self.kept:
             return new
         now = new
