@@ -2,11 +2,11 @@
 
 Everything is DataFrame and SQL functions.  A file's statement is that line of its
 whole text which is most alike to a template, by the cosine of their sparse TF-IDF
-vectors; a licence file is also compared as a whole.  Document frequencies of the
-templates' terms are counted over all files; other terms weigh like unseen ones.
+vectors; a licence file is also compared as a whole.  Document frequencies of all
+terms are counted over all files.
 A line can reach ``LIKE`` only if it holds one of a template's heaviest terms: those
-without which what is left of the template is too short.  Only such lines are
-compared, which loses none.
+without which what is left of the template is too short.  Of such lines those are
+compared that would be alike if their other terms had the least weight, which loses none.
 
 A file without a statement takes that of the nearest directory above it that has a
 licence file.  Directories are resolved once each, by joining their ancestors with
@@ -20,7 +20,10 @@ repeated rows stay; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,19 +75,15 @@ def whole_terms(terms: list[str]) -> str:
     return "(?i)(?<![a-z0-9])(?:" + "|".join(sorted(terms, key=lambda t: (-len(t), t))) + ")(?![a-z0-9])"
 
 
-def document_frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
-    """Files, and files that hold each term of the vocabulary: one row a term comes back."""
-    met = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(whole_terms(vocabulary)), F.lit(0))
-    own = files.select(F.array_distinct(F.transform(F.array_distinct(met), F.lower)).alias("t"))
-    counted = own.select(F.explode(F.concat("t", F.array(F.lit("")))).alias("term")).groupBy("term").count().collect()
-    found = {r["term"]: r["count"] for r in counted}
-    return found.pop("", 0), found
+def document_frequencies(files: DataFrame) -> DataFrame:
+    """(term, df): files that hold each term of any text, counted within tasks before they are shuffled."""
+    own = F.array_distinct(F.split(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), "[^a-z0-9]+"))
+    return files.select(F.explode(own).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
 
 
-def weights(n: int, df: dict[str, int], vocabulary: list[str]) -> tuple[dict[str, float], float]:
-    """ln((1 + n) / (1 + df)) + 1 of each term, and that of a term which no file has."""
-    idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
-    return idf, math.log(1 + n) + 1
+def weight(n, df, log=math.log):
+    """ln((1 + n) / (1 + df)) + 1."""
+    return log((1 + n) / (1 + df)) + 1
 
 
 def heavy_terms(templates, idf: dict[str, float], like: float = LIKE) -> list[str]:
@@ -101,8 +100,8 @@ def heavy_terms(templates, idf: dict[str, float], like: float = LIKE) -> list[st
     return list(out)
 
 
-def likeness(words: Column, templates, idf: dict[str, float], unseen: float) -> Column:
-    """struct<score, place>: the best cosine over the templates, the first of equals.
+def can_be_like(words: Column, templates, idf: dict[str, float], like: float) -> Column:
+    """Whether some template's cosine reaches ``like`` if each term outside the templates has the least weight there is, 1.
 
     Terms are counted once: those of the templates by name, and the squared length
     over the sorted terms, where each repetition of a term adds its share.
@@ -113,21 +112,41 @@ def likeness(words: Column, templates, idf: dict[str, float], unseen: float) ->
 
     def step(a: Column, w: Column) -> Column:
         run = F.when(a["last"] == w, a["run"] + 1).otherwise(1)
-        return F.struct(w.alias("last"), run.alias("run"), (a["sum"] + (2 * run - 1) * F.coalesce(F.try_element_at(known, w), F.lit(unseen * unseen))).alias("sum"))
+        return F.struct(w.alias("last"), run.alias("run"), (a["sum"] + (2 * run - 1) * F.coalesce(F.try_element_at(known, w), F.lit(1.0))).alias("sum"))
 
     square = F.aggregate(F.array_sort(words), F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum")), step, lambda a: a["sum"])
     tf = F.transform(F.array(*map(F.lit, vocabulary)), lambda t: F.size(F.filter(words, lambda w: w == t)))
 
-    def best(x: Column) -> Column:
-        scores = []
-        for place, (_, counts) in enumerate(templates):
+    def any_fits(x: Column) -> Column:
+        fits = []
+        for _, counts in templates:
             norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in counts.items()))
             dot = sum((F.get(x["tf"], F.lit(at[t])) * (c * idf[t] * idf[t]) for t, c in counts.items()), F.lit(0.0))
-            # Rounded, so that the order of a sum decides nothing.
-            scores.append(F.struct(F.when(x["square"] > 0, F.round(dot / (F.sqrt(x["square"]) * norm), 9)).otherwise(0.0).alias("score"), F.lit(-place).alias("place")))
-        return F.array_max(F.array(*scores))
+            # A little less, so that rounding loses nothing.
+            fits.append(dot >= (like - 1e-6) * norm * F.sqrt(x["square"]))
+        return (x["square"] > 0) & reduce(or_, fits)
 
-    return let(F.struct(tf.alias("tf"), square.alias("square")), best)
+    return let(F.struct(tf.alias("tf"), square.alias("square")), any_fits)
+
+
+def best_templates(units: DataFrame, frequencies: DataFrame, n: int, templates, idf: dict[str, float]) -> DataFrame:
+    """units: (_row, unit, words).  (_row, best): struct<score, place> of the best cosine over the row's units and the templates, the first of equals.
+
+    Every term, of a template or not, has its own weight, which is joined to it.
+    """
+    rows = [{"term": t, "shares": [counts.get(t, 0) * v for _, counts in templates]} for t, v in idf.items()]
+    shares = units.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<term:string,shares:array<double>>>")))
+    counted = units.select("_row", "unit", F.explode("words").alias("term")).groupBy("_row", "unit", "term").agg(F.count("*").alias("c"))
+    w = F.col("c") * weight(n, F.col("df"), F.log)
+    weighed = counted.join(frequencies, "term").join(F.broadcast(shares), "term", "left").select("_row", "unit", w.alias("w"), "shares")
+    dots = [F.sum(F.coalesce(F.col("w") * F.get("shares", F.lit(k)), F.lit(0.0))).alias(f"dot{k}") for k in range(len(templates))]
+    scores = []
+    for k, (_, counts) in enumerate(templates):
+        norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in counts.items()))
+        # Rounded, so that the order of a sum decides nothing.
+        scores.append(F.struct(F.round(F.col(f"dot{k}") / (F.sqrt("square") * norm), 9).alias("score"), F.lit(-k).alias("place")))
+    each = weighed.groupBy("_row", "unit").agg(F.sum(F.col("w") * F.col("w")).alias("square"), *dots)
+    return each.groupBy("_row").agg(F.max(F.array_max(F.array(*scores))).alias("best"))
 
 
 def _parent(path: Column) -> Column:
@@ -138,22 +157,26 @@ def statements(files: DataFrame, templates=TEMPLATES, like: float = LIKE) -> Dat
     """files: (key columns, path, text).  Adds directory, is_licence_file, own_place and own_score (null without a statement), and drops the text."""
     counted = template_terms(templates)
     vocabulary = sorted({t for _, c in counted for t in c})
-    n, df = document_frequencies(files, vocabulary)
-    idf, unseen = weights(n, df, vocabulary)
+    frequencies = staged(document_frequencies(files), "frequencies")
+    n = files.count()
+    met = {r["term"]: r["df"] for r in frequencies.where(F.col("term").isin(vocabulary)).collect()}
+    idf = {t: weight(n, met.get(t, 0)) for t in vocabulary}
     heaviest = heavy_terms(counted, idf, like)
     heavy = F.array(*map(F.lit, heaviest))
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce("path", F.lit("")), "([^/]*)$", 1), r"\..*$", ""))
     named = files.withColumn("is_licence_file", F.col("path").isNotNull() & base.isin(*LICENCE_NAMES))
     lines = F.transform(F.split(text, "\n"), terms_of)
-    asked = F.concat(F.filter(lines, lambda w: F.arrays_overlap(w, heavy)), F.when(F.col("is_licence_file"), F.array(terms_of(text))).otherwise(F.array().cast("array<array<string>>")))
+    none = F.array().cast("array<array<string>>")
+    asked = F.concat(F.filter(lines, lambda w: F.arrays_overlap(w, heavy)), F.when(F.col("is_licence_file"), F.array(terms_of(text))).otherwise(none))
     # Most files hold no heavy term at all; for them no line is split.
     some = text.rlike(whole_terms(heaviest))
-    best = F.array_max(F.transform(F.when(some, asked).otherwise(F.array().cast("array<array<string>>")), lambda w: likeness(w, counted, idf, unseen)))
+    units = F.filter(F.when(some, asked).otherwise(none), lambda w: can_be_like(w, counted, idf, like))
     rest = [c for c in files.columns if c != "text"]
-    scored = named.select(*rest, "is_licence_file", _parent(F.col("path")).alias("directory"), best.alias("best"))
-    fits = F.col("best.score") >= like
-    return scored.select(*rest, "is_licence_file", "directory", F.when(fits, -F.col("best.place")).alias("own_place"), F.when(fits, F.col("best.score")).alias("own_score"))
+    asking = staged(named.select(*rest, "is_licence_file", _parent(F.col("path")).alias("directory"), F.monotonically_increasing_id().alias("_row"), units.alias("units")), "units")
+    best = best_templates(asking.select("_row", F.posexplode("units").alias("unit", "words")), frequencies, n, counted, idf).where(F.col("best.score") >= like)
+    found = asking.drop("units").join(best, "_row", "left")
+    return found.select(*rest, "is_licence_file", "directory", (-F.col("best.place")).alias("own_place"), F.col("best.score").alias("own_score"))
 
 
 def nearest_declared(directories: DataFrame, declared: DataFrame) -> DataFrame:

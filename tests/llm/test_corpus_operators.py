@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -192,6 +193,30 @@ def test_license_scan(spark):
     assert got[7] == ("Proprietary", "inherited", "r/c") and got[0][1] == "own"
 
 
+def test_license_weights_count_all_terms(spark):
+    """Words that all files have weigh little, also those that no template has; by brute force."""
+    rng = np.random.default_rng(3)
+    words = ["our", "library", "is", "code", "the", "and", "zebra", "quux", "mit", "license", "released", "under", "version"]
+    header = "Our library is released under the MIT License"
+    texts = [header] + ["our library is here\n" + "\n".join(" ".join(rng.choice(words, int(rng.integers(2, 9)))) for _ in range(3)) for _ in range(400)] + [None, ""]
+    terms = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    df = Counter(w for t in texts for w in set(terms(t)))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + df[w])) + 1
+
+    def cosine(x, y):
+        x, y = ({w: c * idf(w) for w, c in Counter(z).items()} for z in (x, y))
+        return sum(v * y.get(w, 0) for w, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values())) if x else 0.0
+
+    want = [max((round(cosine(terms(line), terms(s)), 6), -k) for line in (t or "").split("\n") for k, (_, s) in enumerate(license_scan.TEMPLATES)) for t in texts]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(frame(spark, list(enumerate(texts))).selectExpr("doc_id", "concat('d/', doc_id) as path", "text")).collect()}
+    assert len(got) == len(texts) and (got[0]["licence"], got[0]["basis"]) == ("MIT", "own")
+    for i, (score, place) in enumerate(want):
+        fits = score >= license_scan.LIKE
+        assert got[i]["licence"] == (license_scan.TEMPLATES[-place][0] if fits else None), (i, texts[i], score)
+        assert not fits or abs(got[i]["own_score"] - score) < 2e-6
+    assert 10 < sum(score >= license_scan.LIKE for score, _ in want) < len(texts)
+
+
 def test_quality_field():
     rng = np.random.default_rng(1)
     # Forward and backward sums against all labelings.
