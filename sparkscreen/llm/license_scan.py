@@ -2,7 +2,8 @@
 
 Everything is DataFrame and SQL functions.  A file's statement is that line of its
 whole text which is most alike to a template, by the cosine of their sparse TF-IDF
-vectors; a licence file is also compared as a whole.  Document frequencies of all
+vectors; a licence file is also compared as a whole, and then with standard headers
+and the bodies of licences too.  Document frequencies of all
 terms are counted over all files.
 A line can reach ``LIKE`` only if it holds one of a template's heaviest terms: those
 without which what is left of the template is too short.  Of such lines those are
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import let
+from .license_bodies import BODIES, HEADERS
 from .shared import staged
 
 #: Least cosine of a statement.
@@ -65,6 +67,10 @@ def template_terms(templates=TEMPLATES) -> list[tuple[str, dict[str, int]]]:
     return out
 
 
+#: Names and term counts of what licence files are compared with as a whole, beside the templates.
+WHOLE = (*template_terms(HEADERS), *BODIES)
+
+
 def terms_of(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits."""
     return F.filter(F.split(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+"), lambda w: w != "")
@@ -129,38 +135,47 @@ def can_be_like(words: Column, templates, idf: dict[str, float], like: float) ->
     return let(F.struct(tf.alias("tf"), square.alias("square")), any_fits)
 
 
-def best_templates(units: DataFrame, frequencies: DataFrame, n: int, templates, idf: dict[str, float]) -> DataFrame:
-    """units: (_row, unit, words).  (_row, best): struct<score, place> of the best cosine over the row's units and the templates, the first of equals.
+def best_templates(units: DataFrame, frequencies: DataFrame, n: int, templates, idf: dict[str, float], for_lines: int) -> DataFrame:
+    """units: (_row, unit, whole, words).  (_row, best): struct<score, place> of the best cosine over the row's units and the templates, the first of equals.
 
     Every term, of a template or not, has its own weight, which is joined to it.
+    Units that aren't whole files are compared with the first ``for_lines`` templates only.
     """
-    rows = [{"term": t, "shares": [counts.get(t, 0) * v for _, counts in templates]} for t, v in idf.items()]
-    shares = units.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<term:string,shares:array<double>>>")))
-    counted = units.select("_row", "unit", F.explode("words").alias("term")).groupBy("_row", "unit", "term").agg(F.count("*").alias("c"))
-    w = F.col("c") * weight(n, F.col("df"), F.log)
-    weighed = counted.join(frequencies, "term").join(F.broadcast(shares), "term", "left").select("_row", "unit", w.alias("w"), "shares")
-    dots = [F.sum(F.coalesce(F.col("w") * F.get("shares", F.lit(k)), F.lit(0.0))).alias(f"dot{k}") for k in range(len(templates))]
-    scores = []
+    by_term: dict[str, list] = {}
     for k, (_, counts) in enumerate(templates):
-        norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in counts.items()))
-        # Rounded, so that the order of a sum decides nothing.
-        scores.append(F.struct(F.round(F.col(f"dot{k}") / (F.sqrt("square") * norm), 9).alias("score"), F.lit(-k).alias("place")))
-    each = weighed.groupBy("_row", "unit").agg(F.sum(F.col("w") * F.col("w")).alias("square"), *dots)
-    return each.groupBy("_row").agg(F.max(F.array_max(F.array(*scores))).alias("best"))
+        for t, c in counts.items():
+            by_term.setdefault(t, []).append({"place": k, "share": c * idf[t]})
+    rows = [{"term": t, "shares": s} for t, s in by_term.items()]
+    kind = "array<struct<place:int,share:double>>"
+    shares = staged(units.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<term:string,shares:{kind}>>"))), "shares")
+    key = ["_row", "unit", "whole"]
+    counted = units.select(*key, F.explode("words").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("c"))
+    weighed = counted.join(frequencies, "term").join(F.broadcast(shares), "term", "left").withColumn("w", F.col("c") * weight(n, F.col("df"), F.log))
+    # At place -1 is the term itself, for the unit's squared length.
+    own = F.array(F.struct(F.lit(-1).alias("place"), F.col("w").alias("share")))
+    parts = weighed.select(*key, "w", F.inline(F.concat(own, F.coalesce("shares", F.array().cast(kind))))).where(F.col("whole") | (F.col("place") < for_lines))
+    dots = parts.groupBy(*key, "place").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
+    each = dots.groupBy("_row", "unit").agg(F.sum(F.when(F.col("place") < 0, F.col("dot"))).alias("square"), F.collect_list(F.when(F.col("place") >= 0, F.struct("place", "dot"))).alias("dots"))
+    norms = F.array(*[F.lit(math.sqrt(sum((c * idf[t]) ** 2 for t, c in counts.items()))) for _, counts in templates])
+    # Rounded, so that the order of a sum decides nothing.
+    scores = F.transform("dots", lambda d: F.struct(F.round(d["dot"] / (F.sqrt("square") * F.get(norms, d["place"])), 9).alias("score"), (-d["place"]).alias("place")))
+    return each.groupBy("_row").agg(F.max(F.array_max(scores)).alias("best"))
 
 
 def _parent(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def statements(files: DataFrame, templates=TEMPLATES, like: float = LIKE) -> DataFrame:
+def statements(files: DataFrame, templates=TEMPLATES, like: float = LIKE, bodies=WHOLE) -> DataFrame:
     """files: (key columns, path, text).  Adds directory, is_licence_file, own_place and own_score (null without a statement), and drops the text."""
     counted = template_terms(templates)
-    vocabulary = sorted({t for _, c in counted for t in c})
+    every = [*counted, *bodies]
+    vocabulary = sorted({t for _, c in every for t in c})
     frequencies = staged(document_frequencies(files), "frequencies")
     n = files.count()
     met = {r["term"]: r["df"] for r in frequencies.where(F.col("term").isin(vocabulary)).collect()}
     idf = {t: weight(n, met.get(t, 0)) for t in vocabulary}
+    of_lines = {t: idf[t] for t in sorted({t for _, c in counted for t in c})}
     heaviest = heavy_terms(counted, idf, like)
     heavy = F.array(*map(F.lit, heaviest))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -168,13 +183,16 @@ def statements(files: DataFrame, templates=TEMPLATES, like: float = LIKE) -> Dat
     named = files.withColumn("is_licence_file", F.col("path").isNotNull() & base.isin(*LICENCE_NAMES))
     lines = F.transform(F.split(text, "\n"), terms_of)
     none = F.array().cast("array<array<string>>")
-    asked = F.concat(F.filter(lines, lambda w: F.arrays_overlap(w, heavy)), F.when(F.col("is_licence_file"), F.array(terms_of(text))).otherwise(none))
+    asked = F.filter(lines, lambda w: F.arrays_overlap(w, heavy))
     # Most files hold no heavy term at all; for them no line is split.
     some = text.rlike(whole_terms(heaviest))
-    units = F.filter(F.when(some, asked).otherwise(none), lambda w: can_be_like(w, counted, idf, like))
+    alike = F.filter(F.when(some, asked).otherwise(none), lambda w: can_be_like(w, counted, of_lines, like))
+    unit = lambda whole: lambda w: F.struct(F.lit(whole).alias("whole"), w.alias("words"))
+    file = F.when(F.col("is_licence_file"), F.array(terms_of(text))).otherwise(none)
+    units = F.concat(F.transform(alike, unit(False)), F.transform(file, unit(True)))
     rest = [c for c in files.columns if c != "text"]
     asking = staged(named.select(*rest, "is_licence_file", _parent(F.col("path")).alias("directory"), F.monotonically_increasing_id().alias("_row"), units.alias("units")), "units")
-    best = best_templates(asking.select("_row", F.posexplode("units").alias("unit", "words")), frequencies, n, counted, idf).where(F.col("best.score") >= like)
+    best = best_templates(asking.select("_row", F.posexplode("units").alias("unit", "u")).select("_row", "unit", "u.*"), frequencies, n, every, idf, len(counted)).where(F.col("best.score") >= like)
     found = asking.drop("units").join(best, "_row", "left")
     return found.select(*rest, "is_licence_file", "directory", (-F.col("best.place")).alias("own_place"), F.col("best.score").alias("own_score"))
 
@@ -190,13 +208,13 @@ def nearest_declared(directories: DataFrame, declared: DataFrame) -> DataFrame:
     return met.groupBy("directory").agg(F.max_by(F.struct("from_directory", "place"), "depth").alias("m")).select("directory", "m.*")
 
 
-def license_scan(files: DataFrame, templates=TEMPLATES, like: float = LIKE) -> DataFrame:
+def license_scan(files: DataFrame, templates=TEMPLATES, like: float = LIKE, bodies=WHOLE) -> DataFrame:
     """files: (key columns, path, text).  One row a file: key columns, path, licence, basis (own, inherited, none), score, from_directory."""
-    found = staged(statements(files, templates, like), "statements")
+    found = staged(statements(files, templates, like, bodies), "statements")
     declared = found.where("is_licence_file and own_place is not null").groupBy("directory").agg(F.max_by("own_place", F.struct("own_score", -F.col("own_place"))).alias("place")).withColumnRenamed("directory", "from_directory")
     directories = found.where("directory is not null").select("directory").distinct()
     inherited = staged(nearest_declared(directories, staged(declared, "declared")), "inherited")
-    names = F.array(*[F.lit(n) for n, _ in templates])
+    names = F.array(*[F.lit(n) for n, _ in [*templates, *bodies]])
     rest = [c for c in files.columns if c != "text"]
     both = found.join(inherited, "directory", "left")
     place = F.coalesce("own_place", "place")

@@ -217,6 +217,54 @@ def test_license_weights_count_all_terms(spark):
     assert 10 < sum(score >= license_scan.LIKE for score, _ in want) < len(texts)
 
 
+def test_licence_files_with_whole_bodies(spark):
+    """Bodies over many lines, none of which is a statement, and the files below them."""
+    bsd = """Copyright (c) 2019, Some People
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES, HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY."""
+    third = bsd.replace("THIS SOFTWARE", "3. Neither the name of the holder nor the names of its contributors may be\nused to endorse or promote products derived from this software without\nspecific prior written permission.\n\nTHIS SOFTWARE", 1)
+    isc = """Copyright 2020 Someone
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY."""
+    gpl = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+    top = {"b": ("LICENSE", bsd, "BSD-2-Clause"), "c": ("LICENSE.md", third, "BSD-3-Clause"), "i": ("COPYING", isc, "ISC"), "g": ("LICENSE", gpl, "GPL-2.0")}
+    files = [(f"{d}/{name}", text) for d, (name, text, _) in top.items()] + [(f"{d}/x/y/{k}.py", f"plain code of {w}") for d in top for k, w in enumerate(("one", "two"))] + [("z/notes.txt", bsd), ("z/u.py", "pass")]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "doc_id long, path string, text string")
+    got = {r["path"]: (r["licence"], r["basis"], r["from_directory"]) for r in license_scan.license_scan(df).collect()}
+    for d, (name, _, licence) in top.items():
+        assert got[f"{d}/{name}"] == (licence, "own", None)
+        assert got[f"{d}/x/y/0.py"] == got[f"{d}/x/y/1.py"] == (licence, "inherited", d)
+    assert got["z/notes.txt"] == got["z/u.py"] == (None, "none", None)
+
+
 def test_quality_field():
     rng = np.random.default_rng(1)
     # Forward and backward sums against all labelings.
