@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,3 +158,51 @@ def rejections(candidates: DataFrame, genres: DataFrame) -> DataFrame:
     """candidates (genre, reason): examined, rejected and rate for every genre, those without candidates too."""
     counted = candidates.groupBy("genre").agg(F.count("*").alias("examined"), F.count("reason").alias("rejected"))
     return genres.join(counted, "genre", "left").select("genre", F.coalesce("examined", F.lit(0)).alias("examined"), F.coalesce("rejected", F.lit(0)).alias("rejected"), _rate(F.col("rejected"), F.col("examined")).alias("rate"))
+
+
+def _minimizers(text: str | None, length: int) -> np.ndarray:
+    """For each window of ``length`` (32 to 48) characters, the least of the hashes of its 24-character parts; distinct.
+
+    Texts that share a window share its least part, whatever is around it.
+    """
+    c = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if c.size < length:
+        return np.zeros(0, np.int64)
+    base, h, parts = 0x9E3779B97F4A7C15, c + np.uint64(1), {}
+    for k in (1, 2, 4, 8):
+        parts[k] = h
+        h = h[:-k] * np.uint64(pow(base, k, 1 << 64)) + h[k:]
+    h = h[:-8] * np.uint64(pow(base, 8, 1 << 64)) + parts[8][16:]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    wide = length - 23
+    k = 1
+    while 2 * k <= wide:
+        h = np.minimum(h[:-k], h[k:])
+        k *= 2
+    h = np.minimum(h[: h.size - (wide - k)], h[wide - k :])
+    return np.unique(h).view(np.int64)
+
+
+def window_keys(text: Column, length: int) -> Column:
+    """Keys of a text's windows: a text that holds a window has the window's key."""
+
+    @F.pandas_udf("array<bigint>")
+    def keys(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: _minimizers(x, length))
+
+    return keys(text)
+
+
+def documents_with_markers(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
+    """docs: (doc_id, text), items: (item_id, text).  Pairs whose document holds the first ``length`` characters of the item, in either case.
+
+    Items that are shorter mark nothing.  Candidates meet by keys that no holding
+    document lacks, and then the marker is looked for.
+    """
+    marks = items.where(F.length("text") >= length).select("item_id", F.lower(F.substring("text", 1, length)).alias("marker"))
+    # Lower-casing can lengthen a marker, never shorten it.
+    keyed = marks.select("marker").distinct().select("marker", F.explode(window_keys(F.substring("marker", 1, length), length)).alias("key"))
+    texts = docs.select("doc_id", F.lower("text").alias("t")).withColumn("same", F.xxhash64("t"))
+    met = texts.select("same", F.explode(window_keys(F.col("t"), length)).alias("key")).join(keyed, "key").select("same", "marker").distinct()
+    return texts.join(met, "same").where(F.contains("t", F.col("marker"))).join(marks, "marker").select("doc_id", "item_id")

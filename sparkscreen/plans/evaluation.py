@@ -170,12 +170,8 @@ def candidate_rejection(spark, sf_dir):
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(substr(b.text, 1, 40))) WHERE len(b.text) >= 40")
 def contamination_leak(spark, sf_dir):
-    """Markers of the benchmark in documents: a document's 40-character slices at word starts meet them as equal keys."""
-    marks = table(spark, sf_dir, "benchmark").where("length(text) >= 40").select("item_id", F.lower(F.substring("text", 1, 40)).alias("marker")).withColumn("head", F.substring_index("marker", " ", 2))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    words = F.split("t", " ")
-    heads = d.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), lambda k: F.concat_ws(" ", F.regexp_extract(F.get(words, k), r"(\S*)$", 1), F.get(words, k + 1))))).alias("head"))
-    return heads.join(marks, "head").where(F.contains("t", F.col("marker"))).select("doc_id", "item_id").distinct()
+    """Markers of the benchmark in documents."""
+    return corpus.documents_with_markers(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), 40)
 
 
 @query(f"WITH {_RECORDS} SELECT category, count(DISTINCT doc_id) AS ids, count(DISTINCT route) AS langs FROM records GROUP BY category HAVING count(DISTINCT doc_id) >= 5")
