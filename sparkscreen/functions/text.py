@@ -103,7 +103,12 @@ def too_long(text: Column, windows: int = 64) -> Column:
 
 
 def excerpt(text: Column, cap: int) -> Column:
-    """Whole paragraphs from the start up to ``cap`` characters; a first one that is longer is cut."""
+    """Whole paragraphs from the start up to ``cap`` characters; a first one that is longer is cut.
+
+    Paragraphs stand between lines that are empty or white.
+    """
+    white = F.lit("".join(c for c in map(chr, range(0x3001)) if c.isspace()))
+    blocks = F.filter(F.transform(F.split(text, f"\n[{SPACES}\n]*\n", -1), lambda x: F.btrim(x, white)), lambda x: x != "")
     state = F.struct(F.lit("").alias("out"), F.lit(False).alias("done"), F.lit(0).alias("n"))
 
     def add(a: Column, p: Column) -> Column:
@@ -112,7 +117,7 @@ def excerpt(text: Column, cap: int) -> Column:
         out = F.when(a["done"], a["out"]).when(first_cut, F.substring(p, 1, cap)).when(size > cap, a["out"]).when(a["n"] == 0, p).otherwise(F.concat(a["out"], F.lit("\n\n"), p))
         return F.struct(out.alias("out"), (a["done"] | (size > cap)).alias("done"), (a["n"] + 1).alias("n"))
 
-    return F.aggregate(paragraphs(text), state, add, lambda a: a["out"])
+    return F.aggregate(blocks, state, add, lambda a: a["out"])
 
 
 def alpha_share(text: Column) -> Column:

@@ -9,6 +9,10 @@ from ..operators import auxiliary as aux
 from ..sources.tables import table
 from .registry import query
 
+#: Fixed value: characters of an excerpt.
+EXCERPT_CAP = 6_000
+
+
 def events(spark, sf_dir):
     return table(spark, sf_dir, "events")
 
@@ -101,6 +105,12 @@ def excerpts(spark, sf_dir):
     return d.select("doc_id", text.excerpt(F.col("text"), 30).alias("excerpt"))
 
 
+@query()
+def whole_excerpts(spark, sf_dir):
+    """Of every document, however many paragraphs it has."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text"), EXCERPT_CAP).alias("excerpt"))
+
+
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def hourly_counters(spark, sf_dir):
     w = F.window(F.col("ts"), "1 hour")

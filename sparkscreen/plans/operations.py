@@ -103,7 +103,7 @@ def error_buckets(spark, sf_dir):
 
 @query("SELECT doc_id, trim(regexp_replace(substr(text, 1, 200), '\\s+', ' ', 'g'))[1:64] AS field FROM documents")
 def search_fields(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.search_field(F.substring("text", 1, 200), 64).alias("field"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.search_field(F.col("text"), 64).alias("field"))
 
 
 @query("SELECT item, n FROM (VALUES ('ordered_union', 'a,b,c'), ('overlap', 'true'), ('missing', 'm2')) t(item, n)")

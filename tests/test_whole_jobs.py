@@ -1,6 +1,8 @@
 """Queries over all that their tables can hold, against brute force."""
 
 import random
+import re
+import unicodedata
 
 from sparkscreen.plans import catalogue
 
@@ -23,3 +25,44 @@ def test_leaks_wherever_the_marker_stands(spark, tmp_path):
     want = [(str(d), i) for d, t in docs for i, m in items if t is not None and m is not None and len(m) >= 40 and m[:40].lower() in t.lower()]
     got = [(str(r["doc_id"]), r["item_id"]) for r in catalogue.queries()["contamination_leak"](spark, sf).collect()]
     assert sorted(got) == sorted(want) and len(want) > 50
+
+
+WHITE = [" ", "\t", "\u00a0", "\u3000", "\n", "\n\n", "\n \t\n", "\r\n\r\n", "\x1c", "\u2003"]
+
+
+def texts_of_paragraphs():
+    rng = random.Random(9)
+    words = lambda n: " ".join(rng.choice(["word", "\u00e9t\u00e9", "e\u0301", "x", "\u6587\u5b57"]) for _ in range(n))
+    texts = ["".join(rng.choice(WHITE) + words(rng.randint(0, 600)) for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    return texts + [" " * 500 + "late", "\x01\x02" * 150 + "after controls", "a\nb\nc", "w" * 7000, "p\n\n" + "q" * 7000, "short", "", " \n\n ", None]
+
+
+def test_excerpts_of_whole_texts(spark, tmp_path):
+    from sparkscreen.plans.extras import EXCERPT_CAP as CAP
+
+    def excerpt(text):
+        kept, size = [], 0
+        for block in (b.strip() for b in re.split(r"\n\s*\n", text)):
+            if block:
+                extra = len(block) + (2 if kept else 0)
+                if size + extra > CAP:
+                    kept = kept or [block[:CAP]]
+                    break
+                kept.append(block)
+                size += extra
+        return "\n\n".join(kept)
+
+    docs = list(enumerate(texts_of_paragraphs()))
+    sf = tables(tmp_path, spark, documents=("doc_id long, text string", docs))
+    got = {r["doc_id"]: r["excerpt"] for r in catalogue.queries()["whole_excerpts"](spark, sf).collect()}
+    assert got == {i: None if t is None else excerpt(t) for i, t in docs}
+    assert sum("\n\n" in (e or "") for e in got.values()) > 20
+
+
+def test_search_fields_of_whole_texts(spark, tmp_path):
+    docs = list(enumerate(texts_of_paragraphs()))
+    sf = tables(tmp_path, spark, documents=("doc_id long, text string", docs))
+    got = {r["doc_id"]: r["field"] for r in catalogue.queries()["search_fields"](spark, sf).collect()}
+    plain = lambda t: re.sub(r"\s+", " ", re.sub(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]", "", unicodedata.normalize("NFC", t))).strip()[:64]
+    assert got == {i: plain(t or "") for i, t in docs}
+    assert "late" in got.values() and "after controls" in got.values()
