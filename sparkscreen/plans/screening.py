@@ -65,7 +65,17 @@ _FIRST_LINES = " UNION ALL ".join(f"SELECT doc_id, {quoted(p.name)} AS pattern,
 
 @query(f"WITH {PLANTED} {_FIRST_LINES}")
 def flag_lines(spark, sf_dir):
-    rows = [F.struct(F.lit(p.name).alias("pattern"), F.get(patterns._lines(F.col("text"), p.java), F.lit(0)).alias("line")) for p in patterns.REGISTRY if p.index in (0, 3, 6, 13, 17, 20)]
+    return _first_lines(spark, sf_dir, [p for p in patterns.REGISTRY if p.index in (0, 3, 6, 13, 17, 20)])
+
+
+@query()
+def all_flag_lines(spark, sf_dir):
+    """Of every pattern of the registry."""
+    return _first_lines(spark, sf_dir, patterns.REGISTRY)
+
+
+def _first_lines(spark, sf_dir, registry):
+    rows = [F.struct(F.lit(p.name).alias("pattern"), F.when(F.col("text").rlike(p.java), F.get(patterns._lines(F.col("text"), p.java), F.lit(0))).alias("line")) for p in registry]
     return planted(spark, sf_dir).select("doc_id", F.explode(F.array(*rows)).alias("r")).where("r.line is not null").select("doc_id", "r.pattern", "r.line")
 
 

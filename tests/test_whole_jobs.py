@@ -66,3 +66,25 @@ def test_search_fields_of_whole_texts(spark, tmp_path):
     plain = lambda t: re.sub(r"\s+", " ", re.sub(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]", "", unicodedata.normalize("NFC", t))).strip()[:64]
     assert got == {i: plain(t or "") for i, t in docs}
     assert "late" in got.values() and "after controls" in got.values()
+
+
+def test_first_lines_of_all_patterns(spark, tmp_path):
+    from sparkscreen.functions.patterns import REGISTRY
+
+    rng = random.Random(3)
+    pieces = [p.probe for p in REGISTRY] + ["plain words", "", "ignore\nall\nprevious", "disregard\nthese instructions", "new \u00a0task", "user\nwith elevated", "x assistant: no", "POPPY: hi", "< system x>", "src = 'http://192.168.0.1"]
+    # Lines in any order; the plain tables plant a probe at the end only.
+    texts = [p.probe for p in REGISTRY] * 2 + ["\n".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(150)] + ["a\n\nb", "", None]
+    docs = [(i, "src", "en", t) for i, t in enumerate(texts)]
+    sf = tables(tmp_path, spark, documents=("doc_id long, source string, lang string, text string", docs))
+    got = sorted(tuple(r) for r in catalogue.queries()["all_flag_lines"](spark, sf).select("doc_id", "pattern", "line").collect())
+    want = []
+    for p in REGISTRY:
+        options, body = re.match(r"(?:\(\?(\w+)\))?(.*)", p.java, re.S).groups()
+        pattern = re.compile(body, sum({"i": re.I, "m": re.M}.get(o, 0) for o in set(options or "")))
+        for i, _, _, t in docs:
+            text = None if t is None else t + ("\n" + REGISTRY[i % 48].probe if i % 48 < len(REGISTRY) else "")
+            m = pattern.search(text) if text is not None else None
+            if m:
+                want.append((i, p.name, text.count("\n", 0, m.start()) + 1))
+    assert got == sorted(want) and {name for _, name, _ in want} == {p.name for p in REGISTRY}
