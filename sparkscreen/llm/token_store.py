@@ -8,7 +8,8 @@ store has three tables, Parquet files under one path:
 * ``chunks``: name, n_ids and the ids as little-endian unsigned 16-bit integers (32-bit for larger vocabularies);
 * ``recipes``: in ascending doc_id order, each document's chunk names in order, the Merkle root
   over them, and ``start``, the number of ids of all documents before it;
-* ``manifest``: for each shard of recipes the Merkle root over its documents' roots, and its totals.
+* ``manifest``: for each shard of recipes one flat hash of its documents' roots in order, and its totals; there is
+  no tree over documents or shards.
 
 Reading back takes every chunk from its file, checks it against its name, and
 checks the recipes' and shards' roots.  The CRC-32 of a document is combined from those of
