@@ -66,7 +66,7 @@ def test_markup_scan(spark):
 
 
 PAGES = [
-    ("<html><head><title> T </title><meta name=author content=''></head><body><p>One<p>Two <b>b</b>old<script>no</script></body></html>", "T", "", "T\nOne\nTwo\nb\nold"),
+    ("<html><head><title> T </title><meta name=author content=''></head><body><p>One<p>Two <b>b</b>old<script>no</script></body></html>", "T", None, "T\nOne\nTwo\nb\nold"),
     ("<title>a<b></title><div class='x byline'>By Me</div><time datetime='2024-01-02'></time>", None, "By Me", None),
     ("", None, None, ""), (None, None, None, ""),
     ('<script type="application/ld+json">{"@type":"Article","author":{"name":"N"},"datePublished":"2020"}</script><li>a<li>b', None, "N", "a\nb"),
@@ -202,3 +202,37 @@ def test_hostile_sizes(spark):
     assert len(one(spark, shapes, lambda v: patterns.scan(v)["verdict"])) == 5
     assert time.time() - began < 120
     assert re.sub(r"\s", "", html.raw_text(html.parse("<span>" * 20_000 + "x"))) == "x"
+
+
+HIDING = {
+    "opacity:0": True, "opacity:0%": True, "opacity:0px": False, "clip:rect(0)": False, "clip:rect(0 0,0px 0)": True, "clip:rect(0,0,0,1px)": False, "text-indent:-999px": True, "text-indent:-998px": False, "text-indent:-9999em": False,
+    "position:fixed;top:-2000px": True, "left:-2000px": False, "overflow:hidden;width:0": True, "width:0": False, "display:none !important": True, "display:none!important": True, "display:!important none": False, "display: None": True,
+    ":none;display:block": False, "display:none;display:block": False, "visibility:collapse": True, "visibility:hidden": True, "font-size:0em": True, "font-size:0;": True, "": False,
+}
+
+
+@pytest.mark.parametrize("style,hides", HIDING.items())
+def test_hiding_styles(style, hides):
+    from sparkscreen.operators import html
+
+    tree, pruned = html.visible(html.parse(f'<body><p>seen</p><div style="{style}">GONE</div></body>'))
+    assert pruned == hides and ("GONE" not in html.raw_text(tree)) == hides
+
+
+def test_hidden_parts_that_show_again():
+    from sparkscreen.operators import html
+
+    shown = lambda body: html.raw_text(html.visible(html.parse(f"<title>t</title><body>{body}</body>"))[0]).split()
+    assert shown('<div style="visibility:hidden">a<b style="visibility:visible">b</b></div>') == ["t", "b"]
+    assert shown('<div style="font-size:0">a<b style="font-size:2em">b</b><i style="font-size:3px">c</i></div>') == ["t", "c"]
+    assert shown('<div hidden="until-found">a</div><div hidden>b</div><p aria-hidden=" TRUE ">c</p>') == ["t", "a"]
+
+
+def test_authors_and_dates():
+    from sparkscreen.operators import html
+
+    got = lambda page: (lambda x: (x["author"], x["date"]))(html.extract(page))
+    assert got('<meta name="author" content=""><div class="byline"> By <b>Ann</b> </div><time datetime=" 2020-01-02 ">') == ("ByAnn", "2020-01-02")
+    assert got('<meta property="article:author" content=" A "><meta name="author" content="B">')[0] == "A"
+    assert got('<script type="application/ld+json">{"@type": "Article", "author": {"name": " C "}, "datePublished": 2020}</script>') == ("C", "2020")
+    assert got('<script type="application/ld+json">{"@type": "Other", "author": "C", "datePublished": ""}</script>') == (None, None)
