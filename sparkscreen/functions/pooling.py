@@ -87,10 +87,17 @@ def flagged_windows(s: Column) -> Column:
     return F.array_sort(F.array_union(F.when(max_score(MAX_THRESHOLD)(s), tops).otherwise(none), F.when(contiguity(RUN_LENGTH, RUN_THRESHOLD)(s), run_members(s, RUN_LENGTH, RUN_THRESHOLD)).otherwise(none)))
 
 
+# The swept thresholds.
+MAX_SWEEP = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
+RUN_SWEEP = (0.4, 0.5, 0.6, 0.7)
+MEAN_SWEEP = (0.3, 0.4, 0.5, 0.6, 0.7)
+SMOOTH_WINDOWS = 2
+
+
 def sweep() -> list[tuple[str, Pooler, int]]:
-    """Named settings with the windows that each needs at least."""
-    grid = [round(0.5 + 0.05 * k, 2) for k in range(10)]
-    out: list[tuple[str, Pooler, int]] = [(f"max@{t}", max_score(t), 1) for t in grid]
-    out += [(f"run2@{t}", contiguity(2, t), 2) for t in grid[:6]] + [(f"run3@{t}", contiguity(3, t), 3) for t in grid[:4]]
-    out += [(f"any2@{t}", k_anywhere(2, t), 2) for t in grid[:6]] + [(f"mean@{t}", mean_at_least(t), 1) for t in grid[:5]] + [(f"smooth2@{t}", smoothed(2, t), 2) for t in grid[:5]]
-    return [*out, ("live", live(), 1)]
+    """All 37 settings by name, with the windows that each needs at least to differ from the maximum."""
+    single = [(f"max@{t}", max_score(t), 1) for t in MAX_SWEEP]
+    runs = [(f"{name}({k},{t})", rule(k, t), k) for name, rule in (("contiguity", contiguity), ("k_anywhere", k_anywhere)) for k in (2, 3) for t in RUN_SWEEP]
+    means = [(f"mean@{t}", mean_at_least(t), 2) for t in MEAN_SWEEP]
+    smooth = [(f"smoothed({SMOOTH_WINDOWS})@{t}", smoothed(SMOOTH_WINDOWS, t), SMOOTH_WINDOWS) for t in MEAN_SWEEP]
+    return [*single, ("live_contiguity", live(), 2), *runs, *means, *smooth]

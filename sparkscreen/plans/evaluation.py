@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import patterns, pooling
@@ -54,21 +56,39 @@ def classifier_view(spark, sf_dir):
     return rows.groupBy(F.when(F.col("toxic") == 1, "attack").otherwise("benign").alias("kind")).agg(F.count("*").alias("n"), F.count("scores").alias("reached"), F.count_if(there & pooling.max_score(0.85)(F.col("scores"))).alias("max_fired"), F.count_if(there & pooling.contiguity(2, 0.5)(F.col("scores"))).alias("run_fired"))
 
 
-@query(f"""WITH {SCORED}, g AS (SELECT unnest([lang, 'all']) AS "group", scores, len(scores) AS w FROM scored JOIN documents USING (doc_id))
-SELECT "group", count(*) AS n, 'max@0.85' AS pooler, CAST(count_if({_POOL_SQL["pool_max"]}) AS BIGINT) AS fired, max(w) < 1 AS not_applicable FROM g GROUP BY "group"
-UNION ALL SELECT "group", count(*), 'run2@0.5', CAST(count_if({_POOL_SQL["pool_contiguity"]}) AS BIGINT), max(w) < 2 FROM g GROUP BY "group"
-UNION ALL SELECT "group", count(*), 'any2@0.5', CAST(count_if({_POOL_SQL["pool_k_anywhere"]}) AS BIGINT), max(w) < 2 FROM g GROUP BY "group"
-UNION ALL SELECT "group", count(*), 'live', CAST(count_if({_POOL_SQL["pool_live"]}) AS BIGINT), max(w) < 1 FROM g GROUP BY "group" """)
+def _fires(name: str) -> str:
+    """A setting of the sweep in SQL, over ``scores``."""
+    rule, numbers = re.match(r"([a-z_]+)(.*)", name).groups()
+    n = [float(x) for x in re.findall(r"[0-9.]+", numbers)]
+    if rule == "live_contiguity":
+        return f"(({_POOL_SQL['pool_max']}) OR ({_POOL_SQL['pool_contiguity']}))"
+    if rule == "max":
+        return f"coalesce(list_max(scores), 0) > {n[0]}"
+    if rule == "contiguity":
+        run = " AND ".join(f"scores[i + {k}] >= {n[1]}" for k in range(int(n[0])))
+        return f"len(list_filter(range(1, len(scores) - {int(n[0]) - 2}), lambda i: {run})) > 0"
+    if rule == "k_anywhere":
+        return f"len(list_filter(scores, lambda x: x >= {n[1]})) >= {int(n[0])}"
+    if rule == "mean":
+        return f"list_sum(scores) / len(scores) >= {n[0]}"
+    return f"CASE WHEN len(scores) < 2 THEN list_sum(scores) / len(scores) >= {n[1]} ELSE len(list_filter(range(1, len(scores)), lambda i: (scores[i] + scores[i + 1]) / 2 >= {n[1]})) > 0 END"
+
+
+_SWEEP = f"""{SCORED}, g AS (SELECT unnest([lang, 'all']) AS "group", scores, len(scores) AS w FROM scored JOIN documents USING (doc_id)),
+swept AS (""" + " UNION ALL ".join(f"""SELECT "group", count(*) AS n, '{name}' AS pooler, CAST(count_if({_fires(name)}) AS BIGINT) AS fired, max(w) < {needs} AS not_applicable FROM g GROUP BY "group" """ for name, _, needs in pooling.sweep()) + ")"
+
+
+@query(f"WITH {_SWEEP} SELECT * FROM swept")
 def pool_sweep(spark, sf_dir):
-    wanted = [p for p in pooling.sweep() if p[0] in ("max@0.85", "run2@0.5", "any2@0.5", "live")]
-    return corpus.pool_sweep(scored(spark, sf_dir), wanted, F.array("lang", F.lit("all")))
+    return corpus.pool_sweep(scored(spark, sf_dir), pooling.sweep(), F.array("lang", F.lit("all")))
 
 
-@query()
+@query(f"""WITH {_SWEEP}, r AS (SELECT "group", pooler, CASE WHEN not_applicable THEN 'n/a' ELSE printf('%.4f', round_even(fired / n::DOUBLE, 4)) END AS rate FROM swept)
+SELECT pooler, """ + ", ".join(f"""max(CASE WHEN "group" = '{g}' THEN rate END) AS "{g}" """ for g in ("all", "de", "en", "es", "fr")) + " FROM r GROUP BY pooler")
 def pool_sweep_table(spark, sf_dir):
     """All settings by group, as a table of rates with n/a where a setting can't apply."""
     rows = corpus.pool_sweep(scored(spark, sf_dir), pooling.sweep(), F.array("lang", F.lit("all")))
-    rate = F.when(F.col("not_applicable"), "n/a").otherwise(F.format_number(F.col("fired") / F.col("n"), 4))
+    rate = F.when(F.col("not_applicable"), "n/a").otherwise(F.format_string("%.4f", F.bround(F.col("fired") / F.col("n"), 4)))
     return rows.groupBy("pooler").pivot("group", ["all", "de", "en", "es", "fr"]).agg(F.first(rate))
 
 
