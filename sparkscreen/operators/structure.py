@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.patterns import rank
+from ..functions.patterns import let, rank
 from ..functions.text import paragraphs, word_count
 
 # Base score of each tier, penalties, the body of a quarantined document.
@@ -69,16 +69,26 @@ def boilerplate(paragraph: Column) -> Column:
 
 
 def summary(text: Column, fallback: Column) -> Column:
-    """struct<kept, summary, classes>: first, last and telling paragraphs stay; of
+    """struct<paragraphs, kept, summary, classes>: first, last and telling paragraphs stay; of
     the rest the words are counted by class, in the order in which classes come.
     Boilerplate is told apart only in fallback text."""
-    paras = paragraphs(F.coalesce(text, F.lit("")))
-    marked = F.transform(paras, lambda p, i: F.struct(p.alias("p"), ((i == 0) | (i == F.size(paras) - 1) | keeps(p)).alias("keep"), F.coalesce(F.when(fallback, boilerplate(p)), F.lit(GENERAL)).alias("class"), word_count(p).alias("words")))
+    return let(paragraphs(F.coalesce(text, F.lit(""))), lambda paras: let(_marked(paras, fallback), _summary))
+
+
+def _marked(paras: Column, fallback: Column) -> Column:
+    """Each paragraph with whether it stays, its class and its words."""
+    last = F.size(paras) - 1
+    mark = lambda p, i: F.struct(p.alias("p"), ((i == 0) | (i == last) | keeps(p)).alias("keep"), F.coalesce(F.when(fallback, boilerplate(p)), F.lit(GENERAL)).alias("class"), word_count(p).alias("words"))
+    return F.transform(paras, mark)
+
+
+def _summary(marked: Column) -> Column:
     kept = F.transform(F.filter(marked, lambda m: m["keep"]), lambda m: m["p"])
     gone = F.filter(marked, lambda m: ~m["keep"])
     names = F.array_distinct(F.transform(gone, lambda m: m["class"]))
-    classes = F.transform(names, lambda n: F.struct(n.alias("class"), F.aggregate(F.filter(gone, lambda m: m["class"] == n), F.lit(0), lambda a, m: a + m["words"]).alias("words")))
-    return F.struct(kept.alias("kept"), F.array_join(kept, "\n\n").alias("summary"), classes.alias("classes"))
+    words = lambda n: F.aggregate(F.filter(gone, lambda m: m["class"] == n), F.lit(0), lambda a, m: a + m["words"])
+    classes = F.transform(names, lambda n: F.struct(n.alias("class"), words(n).alias("words")))
+    return F.struct(F.size(marked).alias("paragraphs"), kept.alias("kept"), F.array_join(kept, "\n\n").alias("summary"), classes.alias("classes"))
 
 
 def notice(classes: Column, total_words: Column) -> Column:

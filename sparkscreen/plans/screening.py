@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -234,8 +236,8 @@ def quarantine(spark, sf_dir):
     return rows.groupBy("q.diagnostic").agg(F.count("*").alias("n"), F.count("q.title").alias("titled"), F.sum((F.col("q.body") == structure.QUARANTINE_BODY).cast("bigint")).alias("quarantined"))
 
 
-_KEEP_SQL = " OR ".join(f"regexp_matches(p, {quoted(k)})" for k in (
-    r"\d+(\.\d+)?%", r"(?i)p\s*[<>=]\s*0\.\d+", r"(?i)CI\s*[:=]?\s*[\[\(]", r"\$[\d,]+(\.\d+)?", r'["“].{10,}?["”]', r"(?i)according to|et al\.|published in|reported by|study by", r"(?m)^\s*[-*]\s+|^\s*\d+\.\s+", r"\|.*\|"))
+#: The marked patterns in the SQL engine's dialect, which has no flags for Unicode classes.
+_KEEP_SQL = " OR ".join(f"regexp_matches(p, {quoted(re.sub(r'^[(][?]([a-zA-Z]+)[)]', lambda m: ''.join(x for x in m[1] if x in 'im') and '(?' + ''.join(x for x in m[1] if x in 'im') + ')', k))})" for k in structure.KEEP)
 
 
 @query(rf"""WITH b AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\n+'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS blank, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS single, text FROM documents),
@@ -244,7 +246,7 @@ e AS (SELECT doc_id, len(ps) AS total, unnest(ps) AS p, generate_subscripts(ps,
 k AS (SELECT doc_id, p, i, (i = 1 OR i = total OR {_KEEP_SQL}) AS keep FROM e)
 SELECT doc_id, count(*) AS n_paragraphs, CAST(sum(CASE WHEN keep THEN 1 ELSE 0 END) AS BIGINT) AS n_kept, md5(string_agg(CASE WHEN keep THEN p END, chr(10) || chr(10) ORDER BY i)) AS digest, CAST(coalesce(sum(CASE WHEN NOT keep THEN len(regexp_split_to_array(p, '[ \n]+')) END), 0) AS BIGINT) AS words_gone FROM k GROUP BY doc_id""")
 def summary_paragraphs(spark, sf_dir):
-    s = docs(spark, sf_dir).select("doc_id", F.size(text.paragraphs(F.col("text"))).alias("n"), structure.summary(F.col("text"), F.lit(False)).alias("s")).where("n > 0")
+    s = docs(spark, sf_dir).select("doc_id", structure.summary(F.col("text"), F.lit(False)).alias("s")).select("doc_id", "s", F.col("s.paragraphs").alias("n")).where("n > 0")
     words = F.aggregate("s.classes", F.lit(0), lambda a, c: a + c["words"])
     return s.select("doc_id", F.col("n").cast("bigint").alias("n_paragraphs"), F.size("s.kept").cast("bigint").alias("n_kept"), F.md5("s.summary").alias("digest"), words.cast("bigint").alias("words_gone"))
 
