@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,6 +61,15 @@ REGISTRY = tuple(
     ])
 )
 MARKUP = tuple(REGISTRY[i] for i in (4, 21, 23))
+#: What a text must hold, in lower case, for a pattern to have a match: one of each group.  Looking for these is much
+#: cheaper than the patterns, and most texts hold none.
+SIGNS = {
+    0: [("ignore",)], 1: [("disregard",), ("instructions",)], 2: [("new",), ("directive", "instruction", "task", "objective")], 3: [("[system]",)], 4: [("system",), ("<",), (">",)], 5: [("---instructions---",)],
+    6: [("[admin]",)], 7: [("[poppy]",)], 8: [("assistant:",)], 9: [("poppy:",)], 10: [("system:",)], 11: [("elevated",)], 12: [], 13: [("rot13",)], 14: [("\\x",)], 15: [("```system",)], 16: [("```instructions",)],
+    17: [("<|im_start|>",)], 18: [("<|endoftext|>",)], 19: [("data:",)], 20: [("javascript:",)], 21: [("://",), ("href", "src")], 22: [("![",), ("{", "%7b")], 23: [("retrieved_content", "retrieval_")],
+}
+#: Beyond lower-casing, the characters that patterns of either case take for a Latin letter.
+_CASED, _PLAIN = "ſıİK", "siik"
 
 # Secret shapes.
 SECRET_SHAPES = {
@@ -79,9 +88,20 @@ FLAG = "struct<category:string,matched:string,line:int>"
 SCAN = f"struct<verdict:string,penalty:double,flags:array<{FLAG}>>"
 
 
-def hits(text: Column) -> list[Column]:
-    """Number of matches of each pattern."""
-    return [F.regexp_count(text, F.lit(p.java)).alias(p.name) for p in REGISTRY]
+def folded(text: Column) -> Column:
+    """The text as the signs are looked for in it."""
+    return F.lower(F.translate(text, _CASED, _PLAIN))
+
+
+def may_match(low: Column, p: Pattern) -> Column:
+    """Whether the folded text holds the signs of a pattern."""
+    return reduce(and_, [reduce(or_, [F.contains(low, F.lit(sign)) for sign in group]) for group in SIGNS[p.index]], F.lit(True))
+
+
+def hits(text: Column, low: Column | None = None) -> list[Column]:
+    """Number of matches of each pattern; ``low``: the folded text, if it is at hand."""
+    low = folded(text) if low is None else low
+    return [F.when(may_match(low, p), F.regexp_count(text, F.lit(p.java))).when(text.isNotNull(), 0).alias(p.name) for p in REGISTRY]
 
 
 def _lines(text: Column, pattern: str) -> Column:
@@ -100,12 +120,16 @@ def _lines(text: Column, pattern: str) -> Column:
 
 def flags(text: Column) -> Column:
     """All matches of all patterns, in the registry's order and then by place."""
+    return let(F.struct(text.alias("text"), folded(text).alias("low")), lambda x: _flags(x["text"], x["low"]))
+
+
+def _flags(text: Column, low: Column) -> Column:
     none = F.array().cast(f"array<{FLAG}>")
     each = []
     for p in REGISTRY:
         found = F.regexp_extract_all(text, F.lit(p.java), F.lit(0))
         rows = F.transform(F.arrays_zip(found.alias("m"), _lines(text, p.java).alias("n")), _flag(p.category))
-        each.append(F.when(text.rlike(p.java), rows).otherwise(none))
+        each.append(F.when(may_match(low, p) & text.rlike(p.java), rows).otherwise(none))
     return F.concat(*each)
 
 
