@@ -12,7 +12,16 @@ from pyspark.sql import functions as F
 from ..functions.kinds import struct
 
 MEMORY_UNITS = {"b": 1 / 1048576, "k": 1 / 1024, "kib": 1 / 1024, "m": 1.0, "mib": 1.0, "g": 1024.0, "gib": 1024.0}
-FAILURES = {"timeout": "The page took too long.", "too_large": "The page is too large.", "unsupported": "The format is not supported.", "encrypted": "The document is encrypted."}
+# Why a document couldn't be read, by public code.
+FAILURES = {
+    "content_too_large": "Document exceeds the 50 MB extraction limit. Documents between 50 MB and the core upload limit of 100 MB can be uploaded but cannot be extracted.",
+    "content_too_large_to_classify": "Document text is too large to classify safely.",
+    "pdf_encrypted": "PDF is encrypted and cannot be extracted.",
+    "pdf_no_text": "PDF contains no extractable text. OCR is not supported.",
+    "unsupported_format": "Document format is unsupported or its content is invalid.",
+    "extraction_failed": "Document extraction failed.",
+    "busy": "Document extraction is currently busy. Please try again.",
+}
 _RESERVED = ("example", "example.com", "example.net", "example.org", "invalid", "test", "localhost")
 
 
@@ -103,8 +112,9 @@ def filler(vocabulary: list[str], n: int, stride: int = 7) -> Column:
 
 
 def public_reason(code: Column) -> Column:
+    """The sentence for a public code; null for what is none."""
     known = F.create_map(*[x for k, v in FAILURES.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.try_element_at(known, code), F.lit("The document could not be read."))
+    return F.try_element_at(known, code)
 
 
 def nested_outcomes(rows: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ pairs("endpoint_origin", ["https://A.example:8080/x", "http://a.example:99999",
 pairs("usable_keys", [" abc ", "a b", "é", "k-1"], ["abc", None, None, "k-1"], aux.usable_key)
 pairs("closed_tokens", ["ok_1", "Bad", "x y", "a"], ["ok_1", "other", "other", "a"], lambda v: aux.closed_token(v, "other"))
 pairs("memory_sizes", ["512m", "1.5GiB", "1048576", "x"], [512.0, 1536.0, 1.0, None], aux.memory_mib, "DOUBLE")
-pairs("public_reasons", ["timeout", "zzz"], ["The page took too long.", "The document could not be read."], aux.public_reason)
+pairs("public_reasons", [*aux.FAILURES, "zzz"], [*aux.FAILURES.values(), None], aux.public_reason)
 pairs("licence_sniff", ["MIT License etc", "Apache License v2", "none"], ["MIT", "Apache-2.0", None], aux.licence_of)
 pairs("markdown_titles", ["x\n# Title \ny", "no title"], ["Title", "fb"], lambda v: aux.markdown_title(v, F.lit("fb")))
 pairs("slug_urls", ["A  Title!", "--x--"], ["https://news.example/a-title", "https://news.example/x"], lambda v: aux.slug_url(F.lit("News"), v))
