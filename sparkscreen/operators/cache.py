@@ -52,10 +52,15 @@ def replay(requests: DataFrame, key: str = "key", ts: str = "ts", ttl: str = "tt
 
 
 def latest_within(requests: DataFrame, writes: DataFrame, ttl_seconds: int) -> DataFrame:
-    """requests (key, rts) with the latest write (key, wts) before them that is still fresh: hit and its time."""
-    met = requests.join(writes, "key", "left").where(F.col("wts").isNull() | (F.col("wts") <= F.col("rts")))
-    fresh = F.timestamp_diff("SECOND", F.col("last"), F.col("rts")) < ttl_seconds
-    return met.groupBy("key", "rts").agg(F.max("wts").alias("last")).withColumn("hit", F.coalesce(fresh, F.lit(False)))
+    """requests (key, rts) with the latest write (key, wts) up to them that is still fresh: hit and its time.
+
+    One pass over the two logs in order of time, so no request meets all writes of its key.
+    """
+    both = requests.select("key", F.col("rts").alias("at"), F.lit(None).cast("timestamp_ntz").alias("wts"), F.lit(1).alias("asks"))
+    both = both.unionByName(writes.select("key", F.col("wts").alias("at"), F.col("wts").cast("timestamp_ntz").alias("wts"), F.lit(0).alias("asks")))
+    run = Window.partitionBy("key").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("last", F.last("wts", ignorenulls=True).over(run)).where("asks = 1").select("key", F.col("at").alias("rts"), "last").distinct()
+    return met.withColumn("hit", F.coalesce(F.timestamp_diff("SECOND", F.col("last"), F.col("rts")) < ttl_seconds, F.lit(False)))
 
 
 def kept_by_recency(entries: DataFrame, most_bytes: int, most_entries: int) -> DataFrame:

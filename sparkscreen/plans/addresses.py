@@ -109,7 +109,7 @@ def effective_ttl(spark, sf_dir):
 
 @query("""WITH e AS (SELECT user_id AS key, event_id, ts FROM events),
 w AS (SELECT key, ts AS wts FROM e WHERE event_id % 3 = 0), q AS (SELECT DISTINCT key, ts AS rts FROM e WHERE event_id % 3 = 1),
-m AS (SELECT key, rts, max(wts) AS last FROM q LEFT JOIN w USING (key) WHERE wts IS NULL OR wts <= rts GROUP BY key, rts)
+m AS (SELECT q.key, rts, max(wts) AS last FROM q LEFT JOIN w ON w.key = q.key AND wts <= rts GROUP BY q.key, rts)
 SELECT key, rts, coalesce(date_sub('second', last, rts) < 3600, false) AS hit FROM m""")
 def cache_latest_write(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", "ts")
