@@ -2,13 +2,16 @@
 
 No Python string is made for a word: a byte table marks word bytes, prefix sums
 of a polynomial over the bytes give a 64-bit hash for any slice, and everything
-after that is numpy on whole blocks of documents.
+after that is numpy on whole blocks of documents.  A polynomial modulo 2**64 has
+long words that collide by construction, so words of more than ``LONGEST_SUMMED``
+bytes get a BLAKE2b digest of their bytes instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; one longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Bytes of the longest word whose hash is a sum; longer ones are digested.
+LONGEST_SUMMED = 32
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -119,8 +124,10 @@ def words(raw: np.ndarray, offs: np.ndarray, table: np.ndarray) -> Words:
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum(_BYTE_VALUE[b] * power[:n], out=total[1:])
-        h = (total[we] - total[ws]) * inverse[ws]
-    return Words(mixed(h), ws, we, np.searchsorted(ws, edge))
+        h = mixed((total[we] - total[ws]) * inverse[ws])
+    for k in np.flatnonzero(we - ws > LONGEST_SUMMED).tolist():
+        h[k] = int.from_bytes(blake2b(b[ws[k] : we[k]].tobytes(), digest_size=8).digest(), "little")
+    return Words(h, ws, we, np.searchsorted(ws, edge))
 
 
 def rolling(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -7,24 +7,27 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests, one machine) a temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``; where that is unset, a folder
+    given to ``setCheckpointDir`` counts.  With neither, a session in one process gets a
+    temporary one, and on a cluster, where no executor would see that, it is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get().rstrip("/")
-        named = tempfile.mkdtemp(prefix="sparkscreen-")
-        spark.sparkContext.setCheckpointDir(named)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-    return named.rstrip("/")
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("no shared folder for intermediate tables: set spark.checkpoint.dir")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkscreen-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def staging_path(spark: SparkSession, what: str) -> str:
@@ -47,17 +50,36 @@ def drop_staged(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes that a Python worker gets at once, but for a single longer row.
+BATCH_BYTES = 8 << 20
+
+
 @contextmanager
-def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
-    """For what is written meanwhile: Arrow batches of so many rows at most."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(name)
-    if rows:
-        spark.conf.set(name, rows)
+def batches_of(spark: SparkSession, rows: int | None = None, size: int = BATCH_BYTES) -> Iterator[None]:
+    """For what is written meanwhile: Arrow batches of so many rows and bytes at most."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    was = {name: spark.conf.get(name) for name in limits}
+    for name, most in limits.items():
+        if most:
+            spark.conf.set(name, most)
     try:
         yield
     finally:
-        spark.conf.set(name, was)
+        for name, value in was.items():
+            spark.conf.set(name, value)
+
+
+def small_parts(batches, text: int, rows: int = 256, size: int = 4 << 20):
+    """Slices of Arrow batches with so many rows, and so many bytes in column ``text`` but for a single longer one."""
+    for batch in batches:
+        column = batch.column(text)
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 class Scratch:
@@ -72,11 +94,15 @@ class Scratch:
         with batches_of(self.spark, batch):
             return staged(df, what, self.paths[what], compression="zstd")
 
+    def forget(self, *names: str) -> None:
+        """Delete these tables."""
+        for name in names:
+            drop_staged(self.spark, self.paths.pop(name))
+
     def drop(self, *names: str) -> None:
         """Delete these tables, and let Spark's cleaner take the shuffle files of plans that are gone."""
         import gc
 
-        for name in names:
-            drop_staged(self.spark, self.paths.pop(name))
+        self.forget(*names)
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
