@@ -13,15 +13,19 @@ of queries:
 3. Vectors whose upper bound, from collected entries and the share for lists without
    one, still reaches the cutoff are resolved exactly, and the best are merged.
 
-Components are turned into floor(scale * x) first, so all scores are integers.  The
-query set is a stated one and is taken in blocks of ``QUERY_BLOCK`` vectors, one pass
-over the shards each, so memory doesn't grow with it.
+Components are turned into floor(scale * x) first, so all scores are integers.  Where
+a product of two vectors may not fit into a double it is worked out in Python's
+integers; a score that 64 bits can't hold is an error, never a wrong number.  The
+query set is a stated one: it is written out in blocks of ``QUERY_BLOCK`` vectors, and each
+block is sent out, answered in two passes over the shards, written and dropped, so
+neither memory nor the plan grows with it.
 
 Defined results: null vectors and vectors with a null or non-finite component, and
 null ids, take no part; vectors of another length than the query aren't its
-candidates; rows that share an id are candidates of their own for other queries,
-and none of them for a query of that id; fewer candidates than k give fewer rows;
-ties go to the smaller id; an empty table gives no rows.
+candidates; a query's candidates are all rows but its own, so other rows of its id
+are among them, and each query row has a list of its own; fewer candidates than
+k give fewer rows; ties go to the smaller id, equal rows of one id come one after the other; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -35,12 +39,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import drop_staged, staging_path
+
 K, SCALE, LISTS = 5, 256.0, 4
 #: Queries of one pass, and vectors that a task scores at a time: their product times LISTS is what an array holds.
 QUERY_BLOCK, SHARD_ROWS = 4096, 128
+#: Doubles hold all integers up to this.
+EXACT = float(1 << 53)
 
-BOUNDS = "query int, bound bigint"
-ENTRIES = "query_id bigint, vec_id bigint, score bigint"
+BOUNDS = "query int, bound double"
+ENTRIES = "query int, query_id bigint, vec_id bigint, score bigint, own boolean"
 
 
 def vectors_of(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -69,13 +77,22 @@ def _shards(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[tuple[n
             yield from vectors_of(batch.slice(k, SHARD_ROWS), scale)
 
 
+def _fits(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Rows of x whose products with every query are exact in doubles."""
+    return np.abs(x).max(1) * np.abs(q).max(initial=1.0) * x.shape[1] < EXACT
+
+
 def _partials(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """[lists, queries, vectors]; doubles hold these integers exactly."""
     return np.stack([q[:, s] @ x[:, s].T for s in _slices(x.shape[1])])
 
 
-def _own(ids: np.ndarray, q_ids: np.ndarray) -> np.ndarray:
-    return q_ids[:, None] == ids[None, :]
+def _own(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which rows may be the query's own: those with its id and its vector."""
+    out = q_ids[:, None] == ids[None, :]
+    for i, j in zip(*np.nonzero(out), strict=True):
+        out[i, j] = bool((q[i] == x[j]).all())
+    return out
 
 
 def _gather(batches: Iterator[pa.RecordBatch], block, k: int, scale: float) -> Iterator[pa.RecordBatch]:
@@ -85,11 +102,16 @@ def _gather(batches: Iterator[pa.RecordBatch], block, k: int, scale: float) -> I
         for n, (places, q_ids, q) in block.value.items():
             if n != x.shape[1]:
                 continue
-            part = _partials(x, q)
-            own = _own(ids, q_ids)
+            # A bound is safe if it leaves vectors out, as it does with the very large ones.
+            fits = _fits(x, q)
+            ids_n, x_n = ids[fits], x[fits]
+            if not len(x_n):
+                continue
+            part = _partials(x_n, q)
+            own = _own(ids_n, x_n, q_ids, q)
             part[:, own] = -np.inf
             least = np.where(np.isinf(part), np.inf, part).min(2)
-            top = min(k, x.shape[0])
+            top = min(k, x_n.shape[0])
             seen = np.zeros(part.shape[1:], bool)
             total = np.zeros(part.shape[1:])
             for m in range(len(part)):
@@ -100,94 +122,132 @@ def _gather(batches: Iterator[pa.RecordBatch], block, k: int, scale: float) -> I
                 seen |= mine
             bound = np.where(seen & ~own, total, -np.inf)
             rows = -np.partition(-bound, min(k, bound.shape[1]) - 1, axis=1)[:, :k] if bound.shape[1] > k else bound
-            held.setdefault(n, []).append((places, rows))
-    out_q, out_b = [], []
-    for parts in held.values():
-        both = np.concatenate([rows for _, rows in parts], axis=1)
-        both = -np.sort(-both, axis=1)[:, :k]
+            before = held.get(n)
+            both = rows if before is None else np.concatenate([before, rows], axis=1)
+            held[n] = -np.sort(-both, axis=1)[:, :k]
+    for n, both in held.items():
         keep = np.isfinite(both)
-        out_q.append(np.broadcast_to(parts[0][0][:, None], both.shape)[keep])
-        out_b.append(both[keep])
-    if out_q:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q), pa.int32()), pa.array(np.concatenate(out_b).astype(np.int64))], names=["query", "bound"])
+        query = np.broadcast_to(block.value[n][0][:, None], both.shape)[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(both[keep])], names=["query", "bound"])
+
+
+def _entries(x: np.ndarray, q: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of pairs that reach the cutoffs, by the lists of partial scores."""
+    part = _partials(x, q)
+    least = part.min(2)
+    share = (cut - least.sum(0)) / len(part)
+    sent = part - least[:, :, None] >= share[None, :, None]
+    upper = np.where(sent, part, np.minimum(part.max(2), least + share[None, :])[:, :, None]).sum(0)
+    rows, cols = np.nonzero(sent.any(0) & (upper >= cut[:, None]))
+    exact = np.einsum("ij,ij->i", q[rows], x[cols]) if len(rows) else np.zeros(0)
+    good = exact >= cut[rows]
+    return rows[good], cols[good], exact[good].astype(np.int64)
+
+
+def _large(x: np.ndarray, q: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for vectors whose products doubles can't hold, in Python's integers."""
+    whole = lambda a: [[int(v) for v in row] for row in a.tolist()]
+    out = []
+    for j, v in enumerate(whole(x)):
+        for i, u in enumerate(whole(q)):
+            score = sum(a * b for a, b in zip(u, v, strict=True))
+            if not -(1 << 63) <= score < 1 << 63:
+                raise ValueError("a score is beyond 64 bits")
+            if score >= cut[i]:
+                out.append((i, j, score))
+    return tuple(np.array([o[k] for o in out], np.int64) for k in range(3))
+
+
+def _best(p: np.ndarray, *rest: np.ndarray, k: int) -> list[np.ndarray]:
+    """Entries (query, own, vec_id, score), k a query at most beside those that may be its own row."""
+    own, vec, score = rest
+    order = np.lexsort((vec, -score, own, p))
+    p, own, vec, score = (a[order] for a in (p, own, vec, score))
+    begin = np.r_[True, (p[1:] != p[:-1]) | (own[1:] != own[:-1])] if len(p) else np.zeros(0, bool)
+    rank = np.arange(len(p)) - np.maximum.accumulate(np.where(begin, np.arange(len(p)), 0))
+    keep = rank <= k
+    return [a[keep] for a in (p, own, vec, score)]
 
 
 def _resolve(batches: Iterator[pa.RecordBatch], block, cutoffs, k: int, scale: float) -> Iterator[pa.RecordBatch]:
-    """Phases 2 and 3 in a task: its best entries that reach the cutoff, k a query at most."""
-    best: dict[int, list] = {}
+    """Phases 2 and 3 in a task: its best entries that reach the cutoff, k a query and one more at most."""
+    best: dict[int, list[np.ndarray]] = {}
     for ids, x in _shards(batches, scale):
         for n, (places, q_ids, q) in block.value.items():
             if n != x.shape[1]:
                 continue
-            cut = cutoffs.value[places]
-            part = _partials(x, q)
-            own = _own(ids, q_ids)
-            least = part.min(2)
-            share = (cut - least.sum(0)) / len(part)
-            sent = part - least[:, :, None] >= share[None, :, None]
-            upper = np.where(sent, part, np.minimum(part.max(2), least + share[None, :])[:, :, None]).sum(0)
-            may = sent.any(0) & (upper >= cut[:, None]) & ~own
-            rows, cols = np.nonzero(may)
-            exact = np.einsum("ij,ij->i", q[rows], x[cols]) if len(rows) else np.zeros(0)
-            good = exact >= cut[rows]
-            best.setdefault(n, []).append((places[rows[good]], q_ids[rows[good]], ids[cols[good]], exact[good].astype(np.int64)))
-    for parts in best.values():
-        p, qi, vi, s = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((vi, -s, p))
-        p, qi, vi, s = p[order], qi[order], vi[order], s[order]
-        begin = np.concatenate([[True], p[1:] != p[:-1]]) if len(p) else np.zeros(0, bool)
-        rank = np.arange(len(p)) - np.maximum.accumulate(np.where(begin, np.arange(len(p)), 0))
-        keep = rank < k
-        yield pa.RecordBatch.from_arrays([pa.array(qi[keep]), pa.array(vi[keep]), pa.array(s[keep])], names=["query_id", "vec_id", "score"])
-
-
-def query_blocks(queries: DataFrame, scale: float, most: int = QUERY_BLOCK) -> Iterator[dict[int, tuple]]:
-    """Blocks of about ``most`` queries: by vector length (places, ids, vectors)."""
-    total = queries.count()
-    n = -(-total // most)
-    for b in range(n):
-        part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("id", "v"), F.lit(n)) == b)
-        found: dict[int, list] = {}
-        for batch in part.toArrow().to_batches():
-            for ids, x in vectors_of(batch, scale):
-                found.setdefault(x.shape[1], []).append((ids, x))
-        block, at = {}, 0
-        for size, parts in found.items():
-            ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            # Rows that share an id and vector ask the same; one of them is enough.
-            keep = np.unique(np.column_stack([ids.astype(float), x]), axis=0, return_index=True)[1]
-            block[size] = (np.arange(at, at + len(keep)), ids[keep], x[keep])
-            at += len(keep)
-        if at:
-            yield block
-
-
-def top_k(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+            cut, fits = cutoffs.value[places], _fits(x, q)
+            for work, at in ((_entries, np.flatnonzero(fits)), (_large, np.flatnonzero(~fits))):
+                if not len(at):
+                    continue
+                i, j, score = work(x[at], q, cut)
+                j = at[j]
+                own = (q_ids[i] == ids[j]) & (q[i] == x[j]).all(1)
+                new = [i, own, ids[j], score]
+                best[n] = _best(*(np.concatenate(c) for c in zip(best[n], new, strict=True)), k=k) if n in best else _best(*new, k=k)
+    for n, (i, own, vec, score) in best.items():
+        places, q_ids, _ = block.value[n]
+        yield pa.RecordBatch.from_arrays([pa.array(places[i], pa.int32()), pa.array(q_ids[i]), pa.array(vec), pa.array(score), pa.array(own.astype(bool))], names=["query", "query_id", "vec_id", "score", "own"])
+
+
+def _block(part: DataFrame, scale: float) -> tuple[dict[int, tuple], list[tuple[int, int]]]:
+    """A block of queries: by vector length (places, ids, vectors); and places of query rows that are there more than once, with their numbers."""
+    found: dict[int, list] = {}
+    for batch in part.toArrow().to_batches():
+        for ids, x in vectors_of(batch, scale):
+            found.setdefault(x.shape[1], []).append((ids, x))
+    block, again, at = {}, [], 0
+    for size, parts in found.items():
+        ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        # Equal rows ask the same: one asks for all.
+        keys = np.concatenate([ids[:, None].view(np.uint8).reshape(len(ids), -1), np.ascontiguousarray(x).view(np.uint8).reshape(len(ids), -1)], 1)
+        _, first, number = np.unique(keys, axis=0, return_index=True, return_counts=True)
+        block[size] = (np.arange(at, at + len(first)), ids[first], x[first])
+        again += [(at + int(k), int(number[k])) for k in np.flatnonzero(number > 1)]
+        at += len(first)
+    return block, again
+
+
+def top_k(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k best other rows.
 
-    ``is_query`` is a condition on ``vectors``.  Query rows that share an id but not the
-    vector are merged into one list of that id.
+    ``is_query`` is a condition on ``vectors``.  The result is written in the shared folder, block by block.
     """
     spark = vectors.sparkSession
     sc = spark.sparkContext
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v"))
-    asked = vectors.where(is_query).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v")).where("id is not null and v is not null")
-    out = None
-    for block in query_blocks(asked, scale):
+    both = vectors.withColumn("__q", F.expr(is_query) if isinstance(is_query, str) else is_query)
+    rows = both.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v"))
+    asked = both.where("__q").select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v")).where("id is not null and v is not null")
+    n = -(-asked.count() // query_block)
+    if not n:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    queries_at, out = staging_path(spark, "queries"), staging_path(spark, "top-k")
+    asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(n))).write.partitionBy("block").parquet(queries_at)
+    queries = spark.read.parquet(queries_at)
+    spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint").write.parquet(out)
+    for b in range(n):
+        block, again = _block(queries.where(F.col("block") == b).select("id", "v"), scale)
+        if not block:
+            continue
         held = sc.broadcast(block)
-        n = sum(len(places) for places, _, _ in block.values())
         gathered = rows.mapInArrow(partial(_gather, block=held, k=k, scale=scale), BOUNDS)
         order = Window.partitionBy("query").orderBy(F.desc("bound"))
-        # k values a query and task arrive here; the k-th best is the cutoff, none if there are fewer.
+        # k values a query and task arrive here; the k-th best is the cutoff, and without one every candidate counts.
         kth = gathered.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("query", "bound").collect()
-        cut = np.full(n, -np.inf)
+        cut = np.full(sum(len(places) for places, _, _ in block.values()), -np.inf)
         for r in kth:
             cut[r["query"]] = r["bound"]
-        # Without a cutoff every candidate counts: a number below any score takes its place.
-        cut[np.isinf(cut)] = -float(1 << 52)
-        found = rows.mapInArrow(partial(_resolve, block=held, cutoffs=sc.broadcast(cut), k=k, scale=scale), ENTRIES)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        cutoffs = sc.broadcast(cut)
+        found = rows.mapInArrow(partial(_resolve, block=held, cutoffs=cutoffs, k=k, scale=scale), ENTRIES)
+        # Of the rows that equal the query, one is the query itself.
+        kin = Window.partitionBy("query", "own").orderBy("vec_id")
+        others = found.withColumn("kin", F.row_number().over(kin)).where("not own or kin > 1")
+        best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        ranked = others.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        if again:
+            ranked = ranked.join(F.broadcast(spark.createDataFrame(again, "query int, number int")), "query", "left").withColumn("number", F.explode(F.sequence(F.lit(1), F.coalesce("number", F.lit(1)))))
+        ranked.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(out)
+        held.destroy()
+        cutoffs.destroy()
+    drop_staged(spark, queries_at)
+    return spark.read.schema("query_id bigint, rank int, vec_id bigint, score bigint").parquet(out)
