@@ -5,7 +5,9 @@ whole text; places come from the lengths of what lies between and inside matches
 in code points, so no function has to search a text again.
 
 Beyond those, parts that alone mean little are gathered as weak candidates: short
-access identifiers, short or unnamed secrets, and endpoints.  Each has a scope, the
+access identifiers, short or unnamed secrets, and endpoints (addresses, hosts,
+connection strings).  Every link needs a secret, so only texts with one are searched
+for the others; texts are read once, and what is found is written out.  Each part has a scope, the
 interval of ``SCOPE`` code points around it.  Identifiers and secrets, and secrets and
 endpoints, are interval-joined within a document: both sides carry the numbers of
 the scope-sized bins that they touch, equal bins join, and the distance decides.
@@ -21,15 +23,15 @@ repeated rows get equal results each; other columns are not read.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from ..functions.patterns import let
+from .shared import Scratch
 
 SCOPE = 240
+#: Matches that one fold joins; a text with more is folded in blocks of so many, so its cost stays near its length.
+FOLDED = 256
 #: Kinds in the order that ties are listed in; the last is what linking adds.
 KINDS = ("assign", "access", "hex", "linked")
 
@@ -42,32 +44,47 @@ BASE = {"assign": (ASSIGN, 2, 12), "access": (ACCESS, 1, 18), "hex": (HEX, 1, 16
 
 #: Weak parts: role, pattern.  They never are spans by themselves.
 WEAK = {
-    "id": r"((?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{4,}|(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.@-]{3,})",
-    "secret": r"((?i:pass|passwd|password|pwd|secret|secret_?key|token|api_?key|auth)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{4,}|\b[A-Za-z0-9+/]{40}\b)",
-    "endpoint": r"((?i:https?|ftp|jdbc:[a-z]+|amqp|redis|mongodb|postgres(?:ql)?)://[^\s\"'<>]+|(?i:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]+\.[A-Za-z]{2,})",
+    "id": r"((?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{4,}|(?i:user(?:name|_?id)?|login|account|client_?id|access_?key(?:_?id)?|key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.@-]{3,})",
+    "secret": r"((?i:pass|passwd|password|pwd|secret|secret_?(?:access_?)?key|token|api_?key|auth)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{4,}|(?i:authorization[\"']?\x20*[:=]\x20*[\"']?(?:basic|bearer)\x20+)[A-Za-z0-9+/_.=-]{4,}|\b[A-Za-z0-9+/]{40}\b)",
+    "endpoint": r"((?i:https?|ftp|jdbc:[a-z]+|amqp|redis|mongodb|postgres(?:ql)?)://[^\s\"'<>]+|(?i:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b(?::[0-9]{1,5}\b)?)",
 }
-#: No identifier and no endpoint is without one of these, so a text without them has nothing to link.
-WEAK_SIGNS = ("=", ":", "AKIA", "ASIA", "AROA", "AIDA")
 #: Roles that complete one another.
 COMPLEMENTS = {"id": ("secret",), "secret": ("id", "endpoint"), "endpoint": ("secret",)}
 SPAN = "struct<start:bigint,end:bigint,kind:string>"
 
 
+SPANS = "array<struct<start:bigint,end:bigint>>"
+
+
 def matches(text: Column, pattern: str, group: int = 0, least: int = 1) -> Column:
     """array<struct<start, end>> of leftmost non-overlapping matches of which ``group`` has ``least`` code points or more."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     between = F.split(text, pattern, -1)
-    # The n-th match stands behind n pieces and n - 1 matches.
-    rows = F.zip_with(F.zip_with(between, whole, lambda b, w: F.struct(F.length(b).alias("gap"), F.length(w).alias("size"))), part, lambda r, p: F.struct(r["gap"].alias("gap"), r["size"].alias("size"), F.length(p).alias("part")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("found"))
+    # The n-th match stands behind n pieces and n - 1 matches; the last piece has no match behind it.
+    sizes = F.zip_with(F.zip_with(between, whole, lambda b, w: F.struct(F.length(b).alias("gap"), F.length(w).alias("size"))), part, lambda r, p: F.struct(r["gap"].alias("gap"), r["size"].alias("size"), F.length(p).alias("part")))
 
     def step(acc: Column, r: Column) -> Column:
         begin = acc["at"] + r["gap"]
         end = begin + F.coalesce(r["size"], F.lit(0))
         return F.struct(end.alias("at"), F.when(r["part"] >= least, F.concat(acc["found"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["found"])
+    def folded(rows: Column, at: Column) -> Column:
+        start = F.struct(at.cast("bigint").alias("at"), F.array().cast(SPANS).alias("found"))
+        return F.aggregate(rows, start, step, lambda acc: acc["found"])
+
+    def in_blocks(rows: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.size(rows), F.lit(FOLDED)), lambda k: F.slice(rows, k, FOLDED))
+        lengths = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, r: a + r["gap"] + F.coalesce(r["size"], F.lit(0))))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, let(lengths, _before), folded)))
+
+    return let(sizes, lambda rows: F.when(F.size(rows) <= FOLDED, folded(rows, F.lit(0))).otherwise(in_blocks(rows)))
+
+
+def _before(lengths: Column) -> Column:
+    """For each length the sum of those before it."""
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(lengths, start, lambda a, n: F.struct((a["sum"] + n).alias("sum"), F.concat(a["out"], F.array(a["sum"])).alias("out")), lambda a: a["out"])
 
 
 def _when_any(text: Column, pattern: str, found: Column) -> Column:
@@ -110,35 +127,40 @@ def linked_parts(candidates: DataFrame, key: list[str], scope: int = SCOPE) -> D
     return near.select(*key, "role", "start", "end").distinct()
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """One row a document: doc_id, text key, ``base`` and ``spans`` (array of spans), counts of the base kinds.
+def text_key(text: Column) -> Column:
+    """What tells rows of one id apart by their text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.length(F.coalesce(text, F.lit(""))))
 
-    Documents are told apart by id and content, so repeated rows share one result.
-    """
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, content (a key of the text), ``base`` (array of spans) and ``weak`` (array of parts; empty without a secret)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signs = reduce(or_, [F.contains(text, F.lit(s)) for s in WEAK_SIGNS])
     weak = F.concat(*[_tagged(_when_any(text, p, matches(text, p)), role, "role") for role, p in WEAK.items()])
     none = F.array().cast("array<struct<start:bigint,end:bigint,role:string>>")
-    return rows.select("doc_id", F.xxhash64(text, F.length(text)).alias("content"), base_spans(text).alias("base"), F.when(signs, weak).otherwise(none).alias("weak"))
+    return rows.select("doc_id", text_key(text).alias("content"), base_spans(text).alias("base"), F.when(text.rlike(WEAK["secret"]), weak).otherwise(none).alias("weak"))
 
 
-def with_links(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Add what linking finds to the base spans of ``scan``."""
-    own = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("own")
+def with_links(docs: DataFrame, scratch: Scratch, scope: int = SCOPE) -> DataFrame:
+    """One row a document: doc_id, own (doc_id, or a number for null), content, ``base``, and ``spans``, the base spans and what linking finds.
+
+    Documents are told apart by id and content, so repeated rows share one result.
+    """
+    found = scratch.stage(scan(docs).withColumn("own", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))), "found")
     roles = F.transform("weak", lambda w: w["role"])
     # Documents with one role only have nothing to link.
-    some = found.where(F.size(F.array_distinct(roles)) > 1).select(own, "content", F.explode("weak").alias("w")).select("own", "content", "w.*").distinct()
-    linked = linked_parts(some, ["own", "content"], scope)
-    grouped = linked.groupBy("own", "content").agg(F.collect_set(F.struct("start", "end", F.lit("linked").alias("kind"))).alias("linked"))
-    joined = found.select("doc_id", "content", "base", own).join(grouped, ["own", "content"], "left")
+    some = found.where(F.size(F.array_distinct(roles)) > 1).select("own", "content", F.explode("weak").alias("w")).select("own", "content", "w.*").distinct()
+    linked = linked_parts(scratch.stage(some, "parts"), ["own", "content"], scope)
+    grouped = scratch.stage(linked.groupBy("own", "content").agg(F.collect_set(F.struct("start", "end", F.lit("linked").alias("kind"))).alias("linked")), "linked")
+    joined = found.select("doc_id", "own", "content", "base").join(grouped, ["own", "content"], "left")
     fresh = F.filter(F.coalesce("linked", F.array().cast(f"array<{SPAN}>")), lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
     return joined.select("doc_id", "own", "content", "base", F.concat("base", fresh).alias("spans"))
 
 
 def secret_digests(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """One row a document: counts, digest of the base spans, and all spans as text."""
-    all_spans = with_links(scan(docs, scope=scope), scope)
+    scratch = Scratch(docs.sparkSession)
+    all_spans = with_links(docs, scratch, scope)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
     return all_spans.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
@@ -158,10 +180,12 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """All rows with all columns, secrets in ``text`` replaced; a null text stays null."""
-    found = with_links(scan(docs, scope=scope), scope).where(F.size("spans") > 0).select("own", "content", "spans").dropDuplicates(["own", "content"])
+    scratch = Scratch(docs.sparkSession)
+    found = with_links(docs, scratch, scope).where(F.size("spans") > 0).select("own", "content", "spans").dropDuplicates(["own", "content"])
     text = F.col("text").cast("string")
-    keyed = docs.withColumn("__own", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))).withColumn("__content", F.xxhash64(F.coalesce(text, F.lit("")), F.length(F.coalesce(text, F.lit("")))))
-    spans = staged(found, "secret-spans").select(F.col("own").alias("__own"), F.col("content").alias("__content"), F.col("spans").alias("__spans"))
+    keyed = docs.withColumn("__own", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))).withColumn("__content", text_key(text))
+    spans = scratch.stage(found, "spans").select(F.col("own").alias("__own"), F.col("content").alias("__content"), F.col("spans").alias("__spans"))
+    scratch.forget("found", "parts", "linked")
     joined = keyed.join(spans, ["__own", "__content"], "left")
     new = F.when(F.col("__spans").isNotNull(), redacted(text, F.col("__spans"))).otherwise(text)
     return joined.select(*[new.alias("text") if c == "text" else F.col(c) for c in docs.columns])
