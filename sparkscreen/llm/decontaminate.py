@@ -11,9 +11,11 @@ offset in the phrase, and the lists are intersected; what is left are exact
 matches.  ``proximity`` finds the places where all terms of a phrase lie within a
 span of so many words, in any order, again from the rarest term on.
 
-The index never shuffles a text.  Test items are a stated query set: they are
-fetched and sent out in blocks of ``QUERY_BLOCK_BYTES`` of text each, and a worker
-holds one block at a time, so its memory doesn't grow with the benchmark.
+The index never shuffles a text.  Test items are cut into windows on the executors, and
+equal windows are one.  They are written out in blocks of about ``BLOCK_WINDOWS``; the
+driver takes one block at a time, sends it out, has its hits written, and drops it,
+so no memory grows with the benchmark.  Then each document's hits of all blocks are
+joined to it; only documents with hits move.  The index is dropped at the end.
 
 Defined results: null and empty texts have no words and are never contaminated;
 items without words have no window; rows that share a doc_id stay rows of their
@@ -23,7 +25,6 @@ item_id are one item with several texts; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -33,18 +34,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import ALNUM_WORDS, blocks, hash_words, spread, text_buffers, words
-from .shared import staged
+from .shared import Scratch, released
 
 WINDOW = 13
 #: Text bytes of one index row, a longer document being a row of its own.
 INDEX_BLOCK_BYTES = 8 << 20
-#: Text bytes of test items that a worker holds at a time.
-QUERY_BLOCK_BYTES = 8 << 20
+#: Windows, or phrases, that are searched for in one pass, about.
+BLOCK_WINDOWS = 1 << 16
 
 INDEX_SCHEMA = "doc_ids array<bigint>, contents array<bigint>, starts array<bigint>, n_words array<bigint>, terms binary, offsets binary, positions binary"
-HIT_SCHEMA = "doc_id bigint, content bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>"
+HIT_SCHEMA = "block bigint, place bigint, spans array<struct<start:bigint,end:bigint>>, item_ids array<string>"
+NEAR_SCHEMA = "doc_id bigint, item_id bigint, start bigint, end bigint"
+WINDOW_SCHEMA = "size int, terms binary, item string"
 
 
+@released
 def _index_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offs = text_buffers(batch.column(1))
@@ -84,11 +88,12 @@ def content_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.length(F.coalesce(text, F.lit("")))).alias("content")
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = INDEX_BLOCK_BYTES) -> DataFrame:
-    """Write the positional index of every whole text to the shared folder; one row a block of documents."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = INDEX_BLOCK_BYTES, scratch: Scratch | None = None) -> DataFrame:
+    """Write the positional index of every whole text to the shared folder; one row a block of documents, ``block`` being its number."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), content_key(text))
-    return staged(rows.mapInArrow(partial(_index_rows, most=block_bytes), INDEX_SCHEMA), "positional-index", compression="zstd")
+    made = rows.mapInArrow(partial(_index_rows, most=block_bytes), INDEX_SCHEMA).withColumn("block", F.monotonically_increasing_id())
+    return (scratch or Scratch(docs.sparkSession)).stage(made, "positional-index")
 
 
 class Block:
@@ -163,58 +168,37 @@ def _phrases_in(block: Block, phrases: list[tuple[np.ndarray, list[int]]], match
                 yield g, r, found
 
 
-def windows_of(items: list[tuple[int, str]], width: int = WINDOW) -> list[tuple[np.ndarray, list[list[int]]]]:
-    """Distinct windows of the items, grouped by length: (terms [n, length], the items of each)."""
-    groups: dict[int, dict[bytes, set]] = {}
-    for item, text in items:
-        h = hash_words(text or "", ALNUM_WORDS)
-        if not len(h):
-            continue
-        k = min(width, len(h))
-        for i in range(len(h) - k + 1):
-            groups.setdefault(k, {}).setdefault(h[i : i + k].tobytes(), set()).add(item)
-    return [(np.frombuffer(b"".join(g), np.uint64).reshape(-1, k), [sorted(v) for v in g.values()]) for k, g in sorted(groups.items())]
-
-
-def _hits(block: Block, groups) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Marks at every position inside an occurrence, and (document, item) pairs."""
-    size = int(block.starts[-1] + block.n_words[-1] + 1) if len(block.starts) else 0
-    edge = np.zeros(size + 1, np.int32)
-    pairs: set[tuple[int, int]] = set()
-    for g, r, found in _phrases_in(block, groups, Block.phrase):
-        np.add.at(edge, found, 1)
-        np.add.at(edge, found + groups[g][0].shape[1], -1)
-        for d in np.unique(np.searchsorted(block.starts, found, "right") - 1).tolist():
-            pairs.update((d, item) for item in groups[g][1][r])
-    return np.cumsum(edge[:-1]) > 0, sorted(pairs)
-
-
-def _result(doc_ids, contents, n_words, marks_of, items_of, share: int) -> pa.RecordBatch:
-    none = hashlib.sha256(b"").hexdigest()
-    n_hit, n_items, digests, names, spans = [], [], [], [], []
-    for d in range(len(doc_ids)):
-        items = sorted({str(x) for x in items_of.get(d, ())})
-        marks = marks_of(d) if items else None
-        if marks is None:
-            n_hit.append(0)
-            spans.append([])
-        else:
-            n_hit.append(int(marks.sum()))
-            turn = np.flatnonzero(np.diff(np.r_[False, marks, False].astype(np.int8)))
-            spans.append([{"start": int(a), "end": int(b)} for a, b in zip(turn[::2], turn[1::2], strict=True)])
-        n_items.append(len(items))
-        digests.append(hashlib.sha256(",".join(items).encode()).hexdigest() if items else none)
-        names.append(items)
-    n_words = np.asarray(n_words, np.int64)
-    hit = np.asarray(n_hit, np.int64)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(doc_ids, pa.int64()), pa.array(contents, pa.int64()), pa.array(n_words), pa.array(hit), pa.array(n_items, pa.int64()), pa.array(digests, pa.string()),
-            pa.array((hit > 0) & (share * hit >= n_words)), pa.array(names, pa.list_(pa.string())),
-            pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-        ],
-        names=["doc_id", "content", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans"],
-    )
+@released
+def _cut(batches: Iterator[pa.RecordBatch], width: int | None) -> Iterator[pa.RecordBatch]:
+    """The windows of each item, or with no width its distinct terms, as rows."""
+    for batch in batches:
+        size, terms, items = [], [], []
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            h = hash_words(text or "", ALNUM_WORDS)
+            h = np.unique(h) if width is None else h
+            k = min(width or len(h), len(h))
+            own = {h[i : i + k].tobytes() for i in range(len(h) - k + 1)} if k else set()
+            size += [k] * len(own)
+            terms += own
+            items += [str(item)] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array(terms, pa.binary()), pa.array(items, pa.string())], names=["size", "terms", "item"])
+
+
+def blocks_of_windows(items: DataFrame, width: int | None, scratch: Scratch, id_col: str = "item_id", text_col: str = "text", most: int = BLOCK_WINDOWS) -> Iterator[list[tuple[np.ndarray, list[list[str]]]]]:
+    """The distinct windows of the items in blocks: grouped by length, (terms [n, length], the items of each)."""
+    own = items.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and length(text) > 0")
+    cut = own.mapInArrow(partial(_cut, width=width), WINDOW_SCHEMA).groupBy("size", "terms").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    windows = scratch.stage(cut, "windows")
+    n = -(-windows.count() // most)
+    for k in range(n):
+        groups: dict[int, tuple[list, list]] = {}
+        part = windows if n == 1 else windows.where(F.pmod(F.xxhash64("terms"), F.lit(n)) == k)
+        for r in part.orderBy("size", "terms").toLocalIterator():
+            terms, names = groups.setdefault(r["size"], ([], []))
+            terms.append(bytes(r["terms"]))
+            names.append(r["items"])
+        yield [(np.frombuffer(b"".join(terms), np.uint64).reshape(-1, size), names) for size, (terms, names) in groups.items()]
+    scratch.forget("windows")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -223,40 +207,64 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}
 
 
-def _search(batches: Iterator[pa.RecordBatch], held: list, share: int) -> Iterator[pa.RecordBatch]:
-    """Whole results at once, as all of a document is in one row; query blocks come one after the other."""
+@released
+def _search(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    """For each document with hits: the runs of words inside them, and the items."""
     for row in _rows(batches):
-        block = Block(row)
-        marks, items = np.zeros(0, bool), {}
-        for one in held:
-            found, pairs = _hits(block, one.value)
-            if len(held) > 1 and getattr(one, "_path", None):
-                del one._value  # read again from the worker's file for the next row
-            marks = marks | found if len(marks) else found
-            for d, item in pairs:
-                items.setdefault(d, []).append(item)
-        yield _result(block.doc_ids, block.contents, block.n_words, lambda d, b=block, m=marks: m[b.starts[d] : b.starts[d] + b.n_words[d]], items, share)
-
-
-def query_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = QUERY_BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The test items in blocks of ``most`` bytes, each fetched by itself."""
-    own = items.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and length(text) > 0")
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // most)
-    for k in range(n):
-        part = own if n == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r[0], r[1]) for r in part.collect()]
-
-
-def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW, share: int = 20) -> DataFrame:
+        block, groups = Block(row), held.value
+        runs: dict[int, list[np.ndarray]] = {}
+        items: dict[int, set[str]] = {}
+        for g, r, found in _phrases_in(block, groups, Block.phrase):
+            of = np.searchsorted(block.starts, found, "right") - 1
+            for d in np.unique(of).tolist():
+                begin = found[of == d] - block.starts[d]
+                runs.setdefault(d, []).append(np.stack([begin, begin + groups[g][0].shape[1]], 1))
+                items.setdefault(d, set()).update(groups[g][1][r])
+        docs = sorted(runs)
+        spans = [[{"start": int(a), "end": int(b)} for a, b in joined_runs(np.concatenate(runs[d]))] for d in docs]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([row["block"]] * len(docs), pa.int64()), pa.array(docs, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(items[d]) for d in docs], pa.list_(pa.string()))],
+            names=["block", "place", "spans", "item_ids"],
+        )
+
+
+def joined_runs(runs: np.ndarray) -> np.ndarray:
+    """Runs [begin, end) with those that touch or overlap made one."""
+    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+    far = np.maximum.accumulate(runs[:, 1])
+    first = np.flatnonzero(np.r_[True, runs[1:, 0] > far[:-1]])
+    return np.stack([runs[first, 0], far[np.r_[first[1:] - 1, len(runs) - 1]]], 1)
+
+
+def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW, share: int = 20, scratch: Scratch | None = None, most: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per indexed document: its words, the words inside any occurrence of
     a test window, the items found, the hit spans (word numbers), and
     ``contaminated``: some word is hit and ``share * n_hit >= n_words``."""
-    sc = index.sparkSession.sparkContext
-    held = [sc.broadcast(windows_of(block, width)) for block in query_blocks(items, id_col, text_col)] or [sc.broadcast([])]
-    return index.mapInArrow(partial(_search, held=held, share=share), HIT_SCHEMA)
-
-
+    spark = index.sparkSession
+    scratch = scratch or Scratch(spark)
+    hits = spark.createDataFrame([], HIT_SCHEMA)
+    for k, groups in enumerate(blocks_of_windows(items, width, scratch, id_col, text_col, most)):
+        held = spark.sparkContext.broadcast(groups)
+        # Few index rows at a time: each is the text of many documents.
+        found = scratch.stage(index.mapInArrow(partial(_search, held=held), HIT_SCHEMA), f"hits-{k}", 1)
+        hits = hits.unionByName(found)
+        held.destroy()
+    # Runs of several blocks are joined in order of their begin.
+    merged = hits.groupBy("block", "place").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    last = lambda out: F.element_at(out, -1)
+    grown = lambda out, s: F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last(out)["start"].alias("start"), F.greatest(last(out)["end"], s["end"]).alias("end"))))
+    runs = F.aggregate("spans", none, lambda out, s: F.when((F.size(out) > 0) & (F.coalesce(F.try_element_at(out, F.lit(-1))["end"], F.lit(-1)) >= s["start"]), grown(out, s)).otherwise(F.concat(out, F.array(s))))
+    merged = scratch.stage(merged.select("block", "place", runs.alias("spans"), "item_ids"), "hits")
+    docs = index.select("block", F.posexplode(F.arrays_zip("doc_ids", "contents", "n_words")).alias("place", "d"))
+    docs = docs.select("block", F.col("place").cast("bigint").alias("place"), F.col("d.doc_ids").alias("doc_id"), F.col("d.contents").alias("content"), F.col("d.n_words").alias("n_words"))
+    joined = docs.join(merged, ["block", "place"], "left").withColumn("spans", F.coalesce("spans", none)).withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    counted = joined.select("doc_id", "content", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "item_ids", "spans")
+    return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+
+
+@released
 def _near_rows(batches: Iterator[pa.RecordBatch], held, within: int) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
         block = Block(row)
@@ -264,36 +272,35 @@ def _near_rows(batches: Iterator[pa.RecordBatch], held, within: int) -> Iterator
         for g, r, found in _phrases_in(block, held.value, lambda b, p, n: b.near(p, n, within)):
             docs = np.searchsorted(block.starts, found[:, 0], "right") - 1
             for item in held.value[g][1][r]:
-                out += [(block.doc_ids[d], item, int(a - block.starts[d]), int(b - block.starts[d])) for d, (a, b) in zip(docs.tolist(), found.tolist(), strict=True)]
+                out += [(block.doc_ids[d], int(item), int(a - block.starts[d]), int(b - block.starts[d])) for d, (a, b) in zip(docs.tolist(), found.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["doc_id", "item_id", "start", "end"])
 
 
-def proximity(index: DataFrame, phrases: DataFrame, within: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def proximity(index: DataFrame, phrases: DataFrame, within: int, id_col: str = "item_id", text_col: str = "text", most: int = BLOCK_WINDOWS) -> DataFrame:
     """Places where all distinct words of a phrase lie within ``within`` words, in
-    any order: the shortest span from each place of the rarest word.  Phrases are
-    taken in blocks, one pass each."""
-    sc, out = index.sparkSession.sparkContext, None
-    for block in query_blocks(phrases, id_col, text_col):
-        sets: dict[int, dict[bytes, list[int]]] = {}
-        for item, text in block:
-            h = np.unique(hash_words(text, ALNUM_WORDS))
-            if len(h):
-                sets.setdefault(len(h), {}).setdefault(h.tobytes(), []).append(item)
-        groups = [(np.frombuffer(b"".join(g), np.uint64).reshape(-1, k), list(g.values())) for k, g in sorted(sets.items())]
-        part = index.mapInArrow(partial(_near_rows, held=sc.broadcast(groups), within=within), "doc_id bigint, item_id bigint, start bigint, end bigint")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else index.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, start bigint, end bigint")
+    any order: the shortest span from each place of the rarest word.  Phrases have integer
+    ids and are taken in blocks, one pass each."""
+    spark = index.sparkSession
+    scratch, out = Scratch(spark), spark.createDataFrame([], NEAR_SCHEMA)
+    for k, groups in enumerate(blocks_of_windows(phrases, None, scratch, id_col, text_col, most)):
+        held = spark.sparkContext.broadcast(groups)
+        out = out.unionByName(scratch.stage(index.mapInArrow(partial(_near_rows, held=held, within=within), NEAR_SCHEMA), f"near-{k}", 1))
+        held.destroy()
+    return out
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Index the documents, then search them for the windows of the items."""
-    return search(build_index(docs), items)
+    """Index the documents, search them for the windows of the items, and write the result to the shared folder."""
+    scratch = Scratch(docs.sparkSession)
+    out = scratch.stage(search(build_index(docs, scratch=scratch), items, scratch=scratch), "contamination")
+    scratch.drop(*[name for name in scratch.paths if name != "contamination"])
+    return out
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows that aren't contaminated, with all their columns."""
+    """The rows that aren't contaminated, with all their columns; a null text, which has no words, stays."""
     own = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("own")
-    bad = staged(contamination(docs, items).where("contaminated").select(own, "content").distinct(), "contaminated")
+    bad = contamination(docs, items).where("contaminated").select(own, "content").distinct()
     keyed = docs.withColumn("__own", own).withColumn("__content", content_key(F.col("text").cast("string")))
     kept = keyed.join(bad, (keyed["__own"] == bad["own"]) & (keyed["__content"] == bad["content"]), "left_anti")
     return kept.select(*docs.columns)
