@@ -8,11 +8,11 @@ store has three tables, Parquet files under one path:
 * ``chunks``: name, n_ids and the ids as little-endian unsigned 16-bit integers (32-bit for larger vocabularies);
 * ``recipes``: in ascending doc_id order, each document's chunk names in order, the Merkle root
   over them, and ``start``, the number of ids of all documents before it;
-* ``manifest``: for each shard of recipes one flat hash of its documents' roots in order, and its totals; there is
-  no tree over documents or shards.
+* ``manifest``: a Merkle tree over the documents' roots in their order.  A node of level 1 has the roots of ``FAN``
+  documents, one of level k + 1 those of ``FAN`` nodes of level k, each with its numbers of documents and ids, up to the one root of the store.
 
 Reading back takes every chunk from its file, checks it against its name, and
-checks the recipes' and shards' roots.  The CRC-32 of a document is combined from those of
+checks the recipes' roots and every node of the manifest.  The CRC-32 of a document is combined from those of
 its chunks, so a chunk that a third of all documents share is read and checked once
 and no payload is sent around; ``reconstruct`` joins the payloads themselves.
 
@@ -33,12 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_staged, staging_path
+from .shared import Scratch, drop_staged, released, small_parts, staging_path
 
 #: Ids in a chunk: at least, at most; a cut comes once in CHUNK_MASK + 1 places.
 CHUNK_LEAST, CHUNK_MOST, CHUNK_MASK = 128, 4096, 511
 ROLLED = 8
 NAME_BYTES = 16
+#: Children of a node of the manifest.
+FAN = 1024
+#: Texts of each task, and characters of each, that both engines encode for comparison.
+COMPARED, COMPARED_CHARACTERS = 8, 2000
 #: Chunk names that a task remembers having sent; all is right without them, they only save bytes.
 NAMES_KEPT = 200_000
 
@@ -100,19 +104,19 @@ class Encoder:
         """By the library itself."""
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def compare(self, texts: list[str]) -> None:
+        """Raises if the engines disagree about one of these texts."""
+        if self.fast and [self.fast(t) for t in texts] != self.exact(texts):
+            raise ValueError("the engines disagree about a text")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
         return list(map(self.fast, texts)) if self.fast else self.exact(texts)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One for each task: a worker that waits for its next task holds none."""
+    return Encoder(path)
 
 
 def cuts(ids: np.ndarray) -> np.ndarray:
@@ -159,14 +163,20 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+@released
 def _code(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     own = encoder(path)
     last = np.array([end_id], own.kind).tobytes()
     size = own.kind.itemsize
     sent: set[bytes] = set()
-    for batch in batches:
-        for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-            coded = [x + last for x in own.encode([t or "" for t in part.column(1).to_pylist()])]
+    compared = False
+    for part in small_parts(batches, 1):
+        if part.num_rows:
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            if not compared:
+                own.compare([t[:COMPARED_CHARACTERS] for t in texts[:: max(1, len(texts) // COMPARED)]])
+                compared = True
+            coded = [x + last for x in own.encode(texts)]
             joined = b"".join(coded)
             edge = np.cumsum([0] + [len(x) // size for x in coded])
             found = cuts(np.frombuffer(joined, own.kind))
@@ -197,9 +207,22 @@ def _code(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator
                 )
 
 
-def _shard_root(rows) -> F.Column:
-    """Root over a shard's documents in order: a flat hash list, of SHA-256."""
-    return F.sha2(F.array_join(F.transform(F.array_sort(rows), lambda x: F.concat_ws(":", F.coalesce(x["doc_id"].cast("string"), F.lit("-")), F.hex(x["root"]))), ","), 256)
+def _nodes(children: DataFrame) -> DataFrame:
+    """One level up from (at, root, documents, n_tokens); a node's hash is over its children's in order."""
+    rows = F.array_sort(F.collect_list(F.struct("at", F.hex("root").alias("root"))))
+    joined = F.array_join(F.transform(rows, lambda x: x["root"]), ",")
+    return children.groupBy(F.floor(F.col("at") / FAN).cast("bigint").alias("node")).agg(F.unhex(F.sha2(joined, 256)).alias("root"), F.sum("documents").alias("documents"), F.sum("n_tokens").alias("n_tokens")).withColumnRenamed("node", "at")
+
+
+def manifest_of(recipes: DataFrame, scratch: Scratch) -> DataFrame:
+    """All levels of the tree over the recipes: (level, at, root, documents, n_tokens)."""
+    below, level, out = recipes.select(F.col("rank").alias("at"), "root", F.lit(1).cast("bigint").alias("documents"), "n_tokens"), 0, None
+    while out is None or below.take(2)[1:]:
+        level += 1
+        below = scratch.stage(_nodes(below), f"level-{level}")
+        own = below.select(F.lit(level).alias("level"), "at", "root", "documents", "n_tokens")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -216,20 +239,22 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_
     drop_staged(spark, coded_at)
     ordered = spark.read.parquet(ordered_at)
     # One row a shard, as many as there are write tasks.
-    totals = sorted((r["shard"], r["n"]) for r in ordered.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
-    before, base = 0, []
-    for shard, n in totals:
-        base.append((shard, before))
-        before += n
-    bases = F.broadcast(spark.createDataFrame(base, "shard int, base bigint"))
+    totals = sorted((r["shard"], r["n"], r["rows"]) for r in ordered.groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows")).collect())
+    before, rank, base = 0, 0, []
+    for shard, n, rows_there in totals:
+        base.append((shard, before, rank))
+        before, rank = before + n, rank + rows_there
+    bases = F.broadcast(spark.createDataFrame(base, "shard int, base bigint, base_rank bigint"))
     run = Window.partitionBy("shard").orderBy(F.asc_nulls_first("doc_id"), "root")
-    placed = ordered.join(bases, "shard").withColumn("start", F.col("base") + F.sum("n_tokens").over(run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
-    placed.select("shard", "start", "doc_id", "n_tokens", "names", "root").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    placed = ordered.join(bases, "shard").withColumn("start", F.col("base") + F.sum("n_tokens").over(run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).withColumn("rank", F.col("base_rank") + F.row_number().over(run) - 1)
+    placed.select("rank", "start", "doc_id", "n_tokens", "names", "root").write.option("compression", "zstd").parquet(f"{path}/recipes")
     drop_staged(spark, ordered_at)
-    written = spark.read.parquet(f"{path}/recipes")
-    written.groupBy("shard").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("n_tokens"), _shard_root(F.collect_list(F.struct("start", "doc_id", "root"))).alias("root")).coalesce(1).write.parquet(f"{path}/manifest")
+    scratch = Scratch(spark)
+    manifest_of(spark.read.parquet(f"{path}/recipes"), scratch).write.parquet(f"{path}/manifest")
+    scratch.drop(*list(scratch.paths))
 
 
+@released
 def _checked(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     """Each stored chunk: its name again from its content, and the CRC-32 of its ids as 32-bit integers."""
     for batch in batches:
@@ -274,6 +299,7 @@ def combined_crcs(crcs: list[np.ndarray], lengths: list[np.ndarray]) -> np.ndarr
     return out
 
 
+@released
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
@@ -294,9 +320,11 @@ def _references(recipes: DataFrame) -> DataFrame:
 
 
 def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Shards whose recipes don't give the stored root; none if all is well."""
-    now = spark.read.parquet(f"{path}/recipes").groupBy("shard").agg(_shard_root(F.collect_list(F.struct("start", "doc_id", "root"))).alias("now"))
-    return spark.read.parquet(f"{path}/manifest").join(now, "shard", "full_outer").where("now is distinct from root")
+    """Nodes of the manifest that the recipes don't give again, or give otherwise; none if all is well."""
+    key = ["level", "at"]
+    now = manifest_of(spark.read.parquet(f"{path}/recipes"), Scratch(spark)).select(*key, F.struct("root", "documents", "n_tokens").alias("now"))
+    held = spark.read.parquet(f"{path}/manifest").select(*key, F.struct("root", "documents", "n_tokens").alias("held"))
+    return held.join(now, key, "full_outer").where("now is distinct from held")
 
 
 def read_digests(spark: SparkSession, path: str, kind: str = "<u2") -> DataFrame:
@@ -307,6 +335,7 @@ def read_digests(spark: SparkSession, path: str, kind: str = "<u2") -> DataFrame
     return docs.mapInArrow(_digest, DIGESTS)
 
 
+@released
 def _ids(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = [np.frombuffer(b"".join(p["payload"] for p in parts), kind).astype(np.int64) for parts in batch.column(2).to_pylist()]
@@ -329,4 +358,6 @@ def stored_digests(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFram
     kind = encoder(tokenizer).kind.str
     if bad := verify_manifest(spark, path).take(1):
         raise ValueError(f"the manifest of the token store doesn't hold: {bad}")
-    return read_digests(spark, path, kind)
+    out = Scratch(spark).stage(read_digests(spark, path, kind), "digests")
+    drop_staged(spark, path)
+    return out
