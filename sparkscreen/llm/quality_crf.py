@@ -8,8 +8,8 @@ Forward and backward sums give each line's probability of being good, and a
 document's score is the mean of those, weighted by the lines' lengths in bytes.
 
 Only the text goes into a score.  Training takes a bounded sample of labelled rows:
-``TRAIN_DOCUMENTS`` of them by a hash of their id, and of a long text
-``TRAIN_LINES`` lines from its middle.  Scoring takes every line of every text.
+``TRAIN_DOCUMENTS`` of them by a hash of their id, with all their lines.  Scoring takes
+every line of every text; ``line_labels`` gives what it says about each line.
 
 Defined results: null and empty texts are one empty line and get that line's
 score; without labels, or with one kind only, every score is the share of good labels
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .bytetext import BLOCK_BYTES, SPACED_WORDS, blocks, text_buffers
 from .bytetext import words as words_of
+from .shared import released
 
-TRAIN_DOCUMENTS, TRAIN_LINES = 3000, 32
+TRAIN_DOCUMENTS = 3000
 ROUNDS, RATE, RIDGE = 120, 0.1, 1e-4
 #: A label is predicted from this score on.
 LIMIT = 0.3
@@ -228,14 +229,13 @@ def train_field(x: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int
     return Field(w, p)
 
 
-def score_lines(x: Lines, field: Field) -> np.ndarray:
-    """Score of each document of a run."""
+def line_marginals(x: Lines, field: Field) -> np.ndarray:
+    """The probability of good of each line of a run."""
     n = np.diff(x.first)
     if field.constant is not None:
-        return np.full(len(n), field.constant)
+        return np.full(len(x.own), field.constant)
     value = with_neighbours(x) @ field.weights
-    weight = np.maximum(x.size, 1).astype(float)
-    out = np.empty(len(n))
+    out = np.empty(len(x.own))
     order = np.argsort(n, kind="stable")
     at = 0
     while at < len(order):
@@ -246,13 +246,19 @@ def score_lines(x: Lines, field: Field) -> np.ndarray:
         rows = np.concatenate([np.arange(x.first[d], x.first[d + 1]) for d in part])
         edge = np.concatenate([[0], np.cumsum(n[part])])
         unary, there = _padded(edge, value[rows])
-        good, _, _ = forward_backward(unary, there, field.pairs)
-        share, _ = _padded(edge, weight[rows])
-        out[part] = (good * share).sum(1) / share.sum(1)
+        out[rows] = forward_backward(unary, there, field.pairs)[0][there]
         at = stop
-    return np.clip(out, 0.0, 1.0)
+    return out
+
+
+def score_lines(x: Lines, field: Field) -> np.ndarray:
+    """Score of each document of a run: the mean of its lines' probabilities by their lengths."""
+    weight = np.maximum(x.size, 1).astype(float)
+    sums = lambda v: np.add.reduceat(v, x.first[:-1]) if len(x.first) > 1 else v
+    return np.clip(sums(line_marginals(x, field) * weight) / sums(weight), 0.0, 1.0)
 
 
+@released
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offs = text_buffers(batch.column(1))
@@ -260,26 +266,25 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for i, j in blocks(offs):
             x = lines_of(raw, offs[i : j + 1])
             full = with_neighbours(x)
-            for a, b in zip(x.first[:-1], x.first[1:], strict=True):
-                a = a + max(0, (b - a - TRAIN_LINES) // 2)
-                feats.append(full[a : min(b, a + TRAIN_LINES)].astype(np.float32).tobytes())
+            feats += [full[a:b].astype(np.float32).tobytes() for a, b in zip(x.first[:-1], x.first[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(feats, pa.binary())], names=["doc_id", "label", "features"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", use: Column | None = None, documents: int = TRAIN_DOCUMENTS) -> Field:
-    """Train on at most ``documents`` labelled rows; ``use`` says which rows of ``labels`` may be learned from."""
-    own = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
+    """Train on at most ``documents`` labelled rows; ``use`` says which rows of ``labels`` may be learned from.  Labels are 0 and 1; others are left out."""
+    own = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1))
     if use is not None:
         own = own.where(use)
     own = own.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(documents)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id").select("doc_id", "text", "label")
-    # ``documents`` rows at most, but for repeated ids; each of TRAIN_LINES lines at most.
+    # ``documents`` rows at most, repeated ids or not.
     got = rows.mapInArrow(_training_rows, "doc_id bigint, label int, features binary").orderBy("doc_id", "label", F.xxhash64("features")).limit(documents).collect()
     x = [np.frombuffer(r["features"], np.float32).reshape(-1, FEATURES) for r in got]
     first = np.cumsum([0] + [len(f) for f in x])
     return train_field(np.concatenate(x) if x else np.zeros((0, FEATURES), np.float32), first, np.array([r["label"] for r in got]))
 
 
+@released
 def _scores(batches: Iterator[pa.RecordBatch], field) -> Iterator[pa.RecordBatch]:
     own = field.value
     for batch in batches:
@@ -299,6 +304,26 @@ def score_documents(docs: DataFrame, field: Field) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(partial(_scores, field=held), SCHEMA)
 
 
+@released
+def _lines(batches: Iterator[pa.RecordBatch], field) -> Iterator[pa.RecordBatch]:
+    own = field.value
+    kind = pa.list_(pa.struct([("good", pa.bool_()), ("probability", pa.float64()), ("bytes", pa.int64())]))
+    for batch in batches:
+        raw, offs = text_buffers(batch.column(1))
+        for i, j in blocks(offs, BLOCK_BYTES):
+            x = lines_of(raw, offs[i : j + 1])
+            p = line_marginals(x, own)
+            rows = [[{"good": bool(p[k] >= 0.5), "probability": float(p[k]), "bytes": int(x.size[k])} for k in range(a, b)] for a, b in zip(x.first[:-1].tolist(), x.first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(rows, kind)], names=["doc_id", "lines"])
+
+
+def line_labels(docs: DataFrame, field: Field) -> DataFrame:
+    """(doc_id, lines) for every row: of each line its label, the probability of good, and its bytes."""
+    held = docs.sparkSession.sparkContext.broadcast(field)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(partial(_lines, field=held), "doc_id bigint, lines array<struct<good:boolean,probability:double,bytes:bigint>>")
+
+
+@released
 def _kept(batches: Iterator[pa.RecordBatch], field, at: int, limit: float) -> Iterator[pa.RecordBatch]:
     own = field.value
     for batch in batches:
