@@ -15,8 +15,9 @@ the directories that declare a licence; files then join their directory.
 
 Defined results: null and empty texts have no statement; files with a null path have
 no directory and inherit nothing; of several licence files in a directory the most
-alike counts, then the first template and the least path; equal templates' scores go to the first;
-repeated rows stay; other columns are not read.
+alike counts, then the first template; equal templates' scores go to the first;
+repeated rows stay; other columns are handed through, whatever they are called, but for
+those named as a column of the result, which the result's own replace.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from .shared import staged
 
 #: Least cosine of a statement.
 LIKE = 0.6
-#: Base names, in lower case and without an extension, of files that speak for their directory.
+#: Base names, in lower case and without what follows a dot, dash or underscore, of files that speak for their directory.
 LICENCE_NAMES = ("license", "licence", "copying", "copyright", "notice", "unlicense")
 #: Templates: name and statement, in order of preference.
 TEMPLATES = (
@@ -53,6 +54,7 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
     ("Proprietary", "All rights reserved"),
 )
+RESULT = ("licence", "basis", "own_score", "from_directory")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -179,7 +181,7 @@ def statements(files: DataFrame, templates=TEMPLATES, like: float = LIKE, bodies
     heaviest = heavy_terms(counted, idf, like)
     heavy = F.array(*map(F.lit, heaviest))
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce("path", F.lit("")), "([^/]*)$", 1), r"\..*$", ""))
+    base = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce("path", F.lit("")), "([^/]*)$", 1), r"[.\-_].*$", ""))
     named = files.withColumn("is_licence_file", F.col("path").isNotNull() & base.isin(*LICENCE_NAMES))
     lines = F.transform(F.split(text, "\n"), terms_of)
     none = F.array().cast("array<array<string>>")
@@ -210,15 +212,16 @@ def nearest_declared(directories: DataFrame, declared: DataFrame) -> DataFrame:
 
 def license_scan(files: DataFrame, templates=TEMPLATES, like: float = LIKE, bodies=WHOLE) -> DataFrame:
     """files: (key columns, path, text).  One row a file: key columns, path, licence, basis (own, inherited, none), score, from_directory."""
+    keys = [c for c in files.columns if c not in ("path", "text", *RESULT)]
+    files = files.select(F.struct(*keys).alias("keys") if keys else F.lit(0).alias("keys"), "path", "text")
     found = staged(statements(files, templates, like, bodies), "statements")
     declared = found.where("is_licence_file and own_place is not null").groupBy("directory").agg(F.max_by("own_place", F.struct("own_score", -F.col("own_place"))).alias("place")).withColumnRenamed("directory", "from_directory")
     directories = found.where("directory is not null").select("directory").distinct()
     inherited = staged(nearest_declared(directories, staged(declared, "declared")), "inherited")
     names = F.array(*[F.lit(n) for n, _ in [*templates, *bodies]])
-    rest = [c for c in files.columns if c != "text"]
     both = found.join(inherited, "directory", "left")
     place = F.coalesce("own_place", "place")
     return both.select(
-        *rest, F.when(place.isNotNull(), F.get(names, place.cast("int"))).alias("licence"), F.when(F.col("own_place").isNotNull(), "own").when(F.col("place").isNotNull(), "inherited").otherwise("none").alias("basis"),
+        *[F.col("keys")[c].alias(c) for c in keys], "path", F.when(place.isNotNull(), F.get(names, place.cast("int"))).alias("licence"), F.when(F.col("own_place").isNotNull(), "own").when(F.col("place").isNotNull(), "inherited").otherwise("none").alias("basis"),
         "own_score", F.when(F.col("own_place").isNull(), F.col("from_directory")).alias("from_directory"),
     )
