@@ -10,14 +10,17 @@ The model is a gated recurrent unit in numpy.  Its output is factored: first the
 class of the next token, then the token in its class, both from the state.  Output
 biases start at the corpus counts.  Training is truncated back-propagation: windows
 of ``WINDOW`` steps, the state carried from one to the next and cleared where a text
-ends.  A bounded sample of ``START_DOCUMENTS`` texts gives all tasks one starting
-point; then each task goes once over all its training texts, and the tasks' weights
-are averaged by their tokens.  Scoring runs whole texts in lanes and carries the
-state over windows, so a text's score is the log-probability of all of it.
-
-Counts of words outside the ``FREQUENT`` most frequent ones are joined: each text
-sends its other words with their numbers, so no table of all words is sent to
-every task.
+ends.  A bounded sample of ``START_DOCUMENTS`` texts gives all shards one starting
+point; then each shard goes once over all its texts, and the shards' weights
+are averaged by their tokens.  A text's shard, and its place there, follow from a hash of
+the text and its id, and the number of shards from that of all tokens
+(``SHARD_TOKENS``), so the weights don't depend on how rows are partitioned.  Scoring
+runs whole texts in lanes and carries the state over windows, so a text's score is
+the log-probability of all of it.
+
+Counts of words that aren't among the most frequent ones, ``FREQUENT`` of them at most by a
+histogram of counts, are joined: each text sends its other words with their
+numbers, so no table of all words is sent to every task.
 
 Defined results: null and empty texts have the end token only; without training
 texts all counts are 0 and the model is uniform over its tokens; rows with a null
@@ -30,6 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +41,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import SPACED_WORDS, blocks, text_buffers, words
-from .shared import staged
+from .shared import Scratch, released
 
 KNOWN, CLASSES = 1022, 32
 FREQUENT = 1 << 18
 SIZE = 16
-WINDOW, TRAIN_LANES, LANES = 16, 256, 512
-START_DOCUMENTS = 400
-RATE = 0.02
+WINDOW, TRAIN_LANES, LANES = 8, 512, 512
+START_DOCUMENTS = 1200
+RATE = 0.06
+#: Tokens of a shard, about; and tasks that shards are dealt out to at most.
+SHARD_TOKENS, TRAIN_TASKS = 1 << 20, 4096
 #: Tokens that training and scoring hold at once.
 BUFFER = 1 << 20
 #: Entries of a task's word counts before they are sent.
@@ -128,9 +134,11 @@ class Model:
     def inputs(self) -> np.ndarray:
         return (self.w["emb"] @ self.w["wx"] + self.w["b"]).astype(np.float32)
 
-    def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None, scale: float = 1.0):
-        """Natural log-probability of targets; with ``grads``, adds gradients of the mean loss and returns that of h too."""
+    def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None, scale: float | np.ndarray = 1.0):
+        """Natural log-probability of targets; with ``grads``, adds gradients of the loss, each target's
+        times its ``scale``, and returns that of h too."""
         rows = np.arange(len(y))
+        scale = np.broadcast_to(np.float32(scale), (len(y),))[:, None]
         cls = self.class_of[y]
         a = h @ self.w["cw"] + self.w["cb"]
         a -= a.max(1, keepdims=True)
@@ -161,14 +169,15 @@ class Model:
             if grads is not None:
                 d = e / total[:, None]
                 d[own, k] -= 1
-                d *= scale
+                d *= scale[at]
                 grads["tw"][c] += hc.T @ d
                 grads["tb"][c] += d.sum(0)
                 dh[at] += d @ self.w["tw"][c].T
         return (out, dh) if grads is not None else out
 
-    def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, grads: dict, end: int):
-        """Truncated back-propagation over x, y [steps, lanes]; adds gradients, gives the last state and the loss."""
+    def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, grads: dict, end: int, counts: np.ndarray | None = None):
+        """Truncated back-propagation over x, y [steps, lanes]; adds gradients, gives the last state and the loss.
+        Targets where ``counts`` is false are padding."""
         t, lanes = x.shape
         table, s = self.inputs(), self.size
         kept, states = [], []
@@ -177,7 +186,8 @@ class Model:
             kept.append((h, *self.step(table, x[k], h)))
             h = kept[-1][1]
             states.append(h)
-        scale = 1.0 / (t * lanes)
+        real = np.ones(t * lanes, np.float32) if counts is None else counts.reshape(-1).astype(np.float32)
+        scale = real / max(1.0, float(real.sum()))
         logp, dh_out = self.log_probs(np.concatenate(states), y.reshape(-1), grads, scale)
         dh_out = dh_out.reshape(t, lanes, s)
         came = np.empty((t, lanes, 3 * s), np.float32)
@@ -201,21 +211,23 @@ class Model:
         grads["wx"] += self.w["emb"].T @ dtable
         grads["b"] += dtable.sum(0)
         grads["emb"] += dtable @ self.w["wx"].T
-        return h, -float(logp.mean())
+        return h, -float(logp @ scale)
 
     def train(self, stream: np.ndarray, end: int, square: np.ndarray, lanes: int = TRAIN_LANES, rate: float = RATE) -> float:
-        """One pass over a stream of tokens that begins behind an end; ``square`` is kept between calls."""
-        x = np.concatenate([[end], stream[:-1]]).astype(np.int32)
-        steps = len(stream) // lanes
-        if not steps:
-            lanes, steps = 1, len(stream)
-        xs, ys = (v[: lanes * steps].reshape(lanes, steps).T for v in (x, stream))
+        """One pass over a stream of tokens that begins behind an end; ``square`` is kept between calls.
+        The last lane is filled up with ends that don't count."""
+        lanes = max(1, min(lanes, len(stream) // WINDOW))
+        steps = -(-len(stream) // lanes)
+        pad = np.full(lanes * steps - len(stream), end, np.int32)
+        x = np.concatenate([[end], stream[:-1], pad]).astype(np.int32)
+        real = np.arange(lanes * steps) < len(stream)
+        xs, ys, counts = (v.reshape(lanes, steps).T for v in (x, np.concatenate([stream, pad]), real))
         h, loss, n = np.zeros((lanes, self.size), np.float32), 0.0, 0
         grad = np.zeros_like(self.flat)
         views = self.views(grad)
         for k in range(0, steps, WINDOW):
             grad[:] = 0
-            h, one = self.window(np.ascontiguousarray(xs[k : k + WINDOW]), np.ascontiguousarray(ys[k : k + WINDOW]), h, views, end)
+            h, one = self.window(np.ascontiguousarray(xs[k : k + WINDOW]), np.ascontiguousarray(ys[k : k + WINDOW]), h, views, end, np.ascontiguousarray(counts[k : k + WINDOW]) if len(pad) else None)
             views["tb"][~self.there] = 0
             norm = float(np.sqrt((grad * grad).sum()))
             if norm > 1:
@@ -268,6 +280,7 @@ class Model:
         return out
 
 
+@released
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of the training texts with their numbers, summed in the task as far as memory allows."""
     pending: list[tuple[np.ndarray, np.ndarray]] = []
@@ -301,18 +314,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sent(*merged())
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
+def word_counts(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(word, n): the numbers of all words, by hash, and of ends; written to the shared folder."""
-    return staged(texts.select("text").mapInArrow(_count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts", compression="zstd")
+    return scratch.stage(texts.select("text").mapInArrow(_count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """Totals and the most frequent words; FREQUENT rows at most come to the driver."""
+    """Totals and the most frequent words; a histogram of counts and FREQUENT rows at most come to the driver."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = int(END_HASH.view(np.int64))
     ends = counts.where(F.col("word") == end).first()
-    top = counts.where(F.col("word") != end).orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
+    # Counts below 1024 are steps of their own, larger ones a 64th of a doubling.
+    step = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log2(F.col("n") / 1024) * 64)).cast("bigint")
+    others = counts.where(F.col("word") != end).select("word", "n", step.alias("step"))
+    held, least = 0, None
+    for r in others.groupBy("step").count().orderBy(F.desc("step")).collect():
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        least = r["step"]
+    top = others.where(F.col("step") >= (1 << 62 if least is None else least)).select("word", "n").toPandas()
     h, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.lexsort((h.view(np.int64), -n))
+    h, n = h[order], n[order]
     known, order = min(KNOWN, len(h)), np.argsort(h)
     first = np.argsort(h[:known])
     own = np.concatenate([n[:known], [0, ends["n"] if ends else 0]])
@@ -337,31 +361,45 @@ def _streams(batches: Iterator[pa.RecordBatch], v: Vocabulary, column: int = 0)
         yield np.concatenate(held)
 
 
+@released
 def _train(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
-    """One pass over a task's texts from the common start: weights times tokens, in units."""
+    """Rows sorted by shard: one pass over each shard's texts from the common start; the sum over a task's shards of weights times tokens, in units."""
     v, start = held.value
+    total = np.zeros(len(start) + 1, np.int64)
     model = Model(v.counts)
-    model.flat[:] = start
-    square, n = np.full_like(model.flat, 1e-4), 0
-    for stream in _streams(batches, v):
-        model.train(stream, v.end, square)
-        n += len(stream)
-    if n:
-        value = np.concatenate([model.flat.astype(float), [1.0]]) * n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value)), pa.int32()), pa.array(np.rint(value * UNIT / 1024).astype(np.int64))], names=["at", "value"])
+
+    def by_shard() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in batches:
+            shard = batch.column(1).to_numpy()
+            edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(shard) else []
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                yield int(shard[a]), batch.slice(a, b - a)
+
+    for _, group in groupby(by_shard(), key=lambda x: x[0]):
+        model.flat[:] = start
+        square, n = np.full_like(model.flat, 1e-4), 0
+        for stream in _streams((b for _, b in group), v):
+            model.train(stream, v.end, square)
+            n += len(stream)
+        total += np.rint(np.concatenate([model.flat.astype(float), [1.0]]) * (n * (UNIT / 1024))).astype(np.int64)
+    if total.any():
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["at", "value"])
 
 
 def train_model(texts: DataFrame, v: Vocabulary) -> Model:
     """The common start from a bounded sample, then one averaged pass over all texts."""
     sc = texts.sparkSession.sparkContext
     model = Model(v.counts)
-    sample = texts.select("text", F.xxhash64("text", F.lit(11)).alias("h")).orderBy("h", "text").limit(START_DOCUMENTS).select("text").toArrow().to_batches()
+    keyed = texts.select("text", F.xxhash64("doc_id", "text").alias("h"))
+    sample = keyed.orderBy("h", "text").limit(START_DOCUMENTS).select("text").toArrow().to_batches()
     square = np.full_like(model.flat, 1e-4)
     for _ in range(2):
         for stream in _streams(iter(sample), v):
             model.train(stream, v.end, square)
     held = sc.broadcast((v, model.flat))
-    summed = texts.select("text").mapInArrow(partial(_train, held=held), "at int, value bigint").groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect()
+    shards = max(1, -(-v.total // SHARD_TOKENS))
+    dealt = keyed.withColumn("shard", F.pmod("h", F.lit(shards))).repartition(min(shards, TRAIN_TASKS), "shard").sortWithinPartitions("shard", "h", "text")
+    summed = dealt.select("text", "shard").mapInArrow(partial(_train, held=held), "at int, value bigint").groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect()
     if summed:
         value = np.zeros(len(model.flat) + 1)
         for r in summed:
@@ -373,6 +411,7 @@ def train_model(texts: DataFrame, v: Vocabulary) -> Model:
 SCORED = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, lm double, word bigint, n bigint"
 
 
+@released
 def _score(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     """For each text its totals over frequent words and its own tokens; and its other words."""
     v, flat = held.value
@@ -440,20 +479,23 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     doc_id, held_out, n_tokens, n_known (tokens that training has), train_tokens,
     base_score (log10, add-one unigrams) and score (log10, the model).
     """
-    sc = docs.sparkSession.sparkContext
+    sc, scratch = docs.sparkSession.sparkContext, Scratch(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     training = own.where("not held_out")
-    counts = word_counts(training)
+    counts = word_counts(training, scratch)
     v = vocabulary(counts)
     model = train_model(training, v)
     rows = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    scored = staged(rows.mapInArrow(partial(_score, held=sc.broadcast((v, model.flat))), SCORED), "scored", compression="zstd")
+    scored = scratch.stage(rows.mapInArrow(partial(_score, held=sc.broadcast((v, model.flat))), SCORED), "scored")
     others = scored.where("word is not null").select("row", "word", "n")
     # A word that training lacks has the count 0, whose logarithm with one added is 0.
     met = others.join(counts.withColumnRenamed("n", "c"), "word")
     more = met.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("log"), F.sum("n").alias("known"))
     texts = scored.where("word is null").drop("word", "n")
     log = F.coalesce("log", F.lit(0.0))
-    return texts.join(more, "row", "left").select(
+    out = texts.join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(v.total).cast("bigint").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("lm") + log).alias("score")
     )
+    out = scratch.stage(out, "texts")
+    scratch.drop("word-counts", "scored")
+    return out
