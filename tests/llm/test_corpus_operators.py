@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 
 from sparkscreen.llm import gru_lm, license_scan, ngram_join, quality_crf, secret_scan, topk
-from sparkscreen.llm.graph import components, settled
+from sparkscreen.llm.graph import Steps, components
+from sparkscreen.llm.shared import Scratch
 
 SCHEMA = "doc_id long, extra string, text string, a long, component string"
 
@@ -23,7 +24,7 @@ def frame(spark, rows):
 def test_components(spark):
     rng = random.Random(1)
     links = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(25)] + [(None, 3), (5, 5), (7, 6)]
-    found = {r["node"]: r["component"] for r in settled(components(spark.createDataFrame(links, "a long, b long"))).collect()}
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     root = {}
 
     def top(x):
@@ -38,6 +39,13 @@ def test_components(spark):
     assert found == {x: top(x) for x in list(root)}
 
 
+def test_a_long_chain_takes_few_steps(spark):
+    steps = Steps(Scratch(spark))
+    found = components(spark.range(1000).selectExpr("id as a", "id + 1 as b"), steps).collect()
+    assert {r["component"] for r in found} == {0} and len(found) == 1001
+    assert steps.written <= 20
+
+
 def near_rows():
     rng = random.Random(2)
     bank = [f"w{k}" for k in range(400)]
@@ -82,10 +90,11 @@ def jaccard_classes(rows):
     return {i: (len(sets[i]), top(i)) for i in ids}
 
 
-@pytest.mark.parametrize("tile_rows,common", [(1024, 24), (3, 2)])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, tile_rows, common):
+@pytest.mark.parametrize("tile_rows,late_most", [(1024, 1 << 22), (3, 20), (3, 0)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, tile_rows, late_most):
     monkeypatch.setattr(ngram_join, "TILE_ROWS", tile_rows)
-    monkeypatch.setattr(ngram_join, "COMMON_LEAST", common)
+    monkeypatch.setattr(ngram_join.late_grams, "__defaults__", (1 << 20, late_most))
+    monkeypatch.setattr(ngram_join.met_grams, "__defaults__", (1 << 20, late_most))
     rows = near_rows()
     want = jaccard_classes(rows)
     docs = frame(spark, [*rows, rows[0], (None, rows[0][1])])
@@ -101,7 +110,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, tile_rows, common
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({c for _, c in want.values()})
 
 
-def test_tiles_find_links_that_leaders_miss(spark):
+def test_tiles_find_links_that_leaders_miss(spark, monkeypatch):
     """With leaders out of the way, tiles alone must find every link."""
     rows = near_rows()
     want = jaccard_classes(rows)
@@ -113,6 +122,8 @@ def test_tiles_find_links_that_leaders_miss(spark):
         calls.append(1)
         return real(pairs.limit(0) if len(calls) == 1 else pairs, *args)
 
+    monkeypatch.setattr(ngram_join, "CLOSEST_ROUNDS", 0)
+
     ngram_join.decided = without_star
     try:
         got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs).collect()}
@@ -121,6 +132,24 @@ def test_tiles_find_links_that_leaders_miss(spark):
     assert got == {i: c for i, (_, c) in want.items()}
 
 
+def test_texts_that_share_an_id(spark):
+    """Different texts of one id are documents of their own, and none of them is lost."""
+    say = lambda w: " ".join(f"{w}{k}" for k in range(40))
+    rows = [(1, say("a")), (1, say("b")), (2, say("b")), (3, say("c")), (3, say("c")), (4, ""), (4, None), (5, "é " + say("a"))]
+    got = ngram_join.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 3), (3, 3), (4, 4), (4, 4), (5, 1)]
+    kept = sorted((r["doc_id"], r["text"] or "-") for r in ngram_join.one_of_each(frame(spark, rows)).collect())
+    assert kept == [(1, say("a")), (1, say("b")), (3, say("c")), (4, "-"), (4, "-")]
+
+
+def test_long_words_do_not_collide(spark):
+    """The sums of these two words of 2,048 characters are equal modulo 2**64."""
+    x = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    y = x.translate(str.maketrans("ab", "ba"))
+    got = ngram_join.near_duplicates(frame(spark, [(1, x), (2, y), (3, x.upper())])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 1}
+
+
 def test_empty_documents_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert ngram_join.near_duplicates(none).count() == 0
@@ -128,7 +157,7 @@ def test_empty_documents_table(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id % 50 = 0").count() == 0
 
 
-def test_top_k_equals_brute_force(spark, monkeypatch):
+def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     vectors = [(i, rng.normal(0, 0.3, 12).round(2).tolist()) for i in range(400)]
     vectors += [(401, [float("nan")] * 12), (402, None), (450, [None] * 12), (500, [1.0, 2.0]), (550, [0.5, -2.0]), (None, [0.1] * 12), (403, vectors[7][1]), (600, [float("inf")] * 12), (650, [])]
@@ -140,11 +169,24 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
             scored = sorted((-int(q @ v), j) for j, v in usable if j != i and len(v) == len(q))[:5]
             want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
     for block in (4096, 3):
-        monkeypatch.setattr(topk.query_blocks, "__defaults__", (block,))
-        got = sorted(tuple(r) for r in topk.top_k(df, "vec_id % 50 = 0").collect())
+        got = sorted(tuple(r) for r in topk.top_k(df, "vec_id % 50 = 0", query_block=block).collect())
         assert got == sorted(want)
 
 
+def test_top_k_of_large_numbers_and_shared_ids(spark):
+    rows = [(0, [2e5, 2e5]), (1, [-2e5, -2e5]), (2, [1e5, -1e5]), (50, [1e7, -3e6]), (50, [1e7, -3e6]), (50, [4.0, 4.0]), (7, [2e5, 2e5])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, query int").repartition(2)
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for a, (i, q) in enumerate(whole):
+        if i % 50 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(q, v, strict=True)), j) for b, (j, v) in enumerate(whole) if b != a)[:5]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+    assert sorted(map(tuple, topk.top_k(df, "vec_id % 50 = 0").collect())) == sorted(want)
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>"), "vec_id = 0").collect()
+
+
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
@@ -181,12 +223,35 @@ def test_weak_parts_need_a_complement(spark):
     assert out == {1: "é <assign> end", 2: None, 3: "clean", None: "<access>!"}
 
 
+def linked(text, scope):
+    """All pairs of weak parts, one by one."""
+    text = text or ""
+    parts = [(m.start(), m.end(), role) for role, p in secret_scan.WEAK.items() for m in re.finditer(p, text, re.A)]
+    own = [tuple(map(int, b.split(":")[1:])) for b in base(text)]
+    near = lambda x, y: y[2] in secret_scan.COMPLEMENTS[x[2]] and y[0] - x[1] <= scope and x[0] - y[1] <= scope
+    return sorted({x[:2] for x in parts if any(near(x, y) for y in parts) and not any(a <= x[0] and x[1] <= b for a, b in own)})
+
+
+@pytest.mark.parametrize("scope,folded", [(240, 256), (30, 2)])
+def test_links_equal_all_pairs(spark, monkeypatch, scope, folded):
+    monkeypatch.setattr(secret_scan, "FOLDED", folded)
+    rng = random.Random(5)
+    pieces = ["user=bob", "client_id: 'ab-12'", "AKIAABCD", "pwd=abcd", 'token = "0123456789abcdef0123456789abcdef01234567"', "Authorization: Bearer abc.def", "10.20.30.40:8080", "https://u:p@db.example/x", "host=db.example.com", "plain words", "é\U0001f600", "\n", " " * 20, " " * 90]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(120)] + [None, "", "pwd=abcd " * 700 + "user=bob"]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_digests(frame(spark, list(enumerate(texts))), scope).collect()}
+    for i, t in enumerate(texts):
+        assert sorted(tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s.startswith("linked")) == linked(t, scope), (i, t)
+    assert sum("linked" in s for s in got.values()) > 30
+
+
 def test_license_scan(spark):
     files = [
         ("r/LICENSE", "Released under the MIT License"), ("r/a/x.py", "print(1)"), ("r/a/LICENSE.txt", "Licensed under the Apache License, Version 2.0."), ("r/a/b/y.py", "no header"),
         ("r/a/b/z.py", "code\nmore\nThis work is licensed under the GNU General Public License, version 3.\nend"), ("s/t.py", "nothing"), (None, "orphan"), ("r/c/n.py", None), ("r/c/NOTICE", "all RIGHTS reserved"), ("r/q.py", "x"),
     ]
-    df = spark.createDataFrame([(i, p, t, "d") for i, (p, t) in enumerate(files)], "doc_id long, path string, text string, place string").drop("place")
+    odd = "directory licence basis best own_place place units keys is_licence_file".split()
+    df = spark.createDataFrame([(i, p, t, *odd) for i, (p, t) in enumerate(files)], f"doc_id long, path string, text string, {', '.join(f'{c} string' for c in odd)}")
+    assert license_scan.license_scan(df).where("directory = 'directory' and best = 'best'").count() == len(files)
     got = {r["doc_id"]: (r["licence"], r["basis"], r["from_directory"]) for r in license_scan.license_scan(df).collect()}
     assert got[9] == ("MIT", "inherited", "r") and got[1] == ("Apache-2.0", "inherited", "r/a") and got[3] == ("Apache-2.0", "inherited", "r/a")
     assert got[4] == ("GPL-3.0", "own", None) and got[5] == (None, "none", None) and got[6] == (None, "none", None)
@@ -336,6 +401,13 @@ def test_language_model(spark):
     assert out["score"].sum() > out["base_score"].sum()
 
 
+def test_language_model_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "SHARD_TOKENS", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one, many = ({r["doc_id"]: r["score"] for r in gru_lm.score_documents(d, quality_crf.held_out(2, 7)).collect()} for d in (docs.coalesce(1), docs.repartition(4)))
+    assert one.keys() == many.keys() and all(math.isclose(one[i], many[i], rel_tol=1e-4) for i in one)
+
+
 def test_language_model_is_a_distribution():
     counts = np.array([50, 20, 5, 1, 0, 9, 3])
     model = gru_lm.Model(counts, size=4, classes=3)

@@ -166,9 +166,7 @@ def test_decontamination_equals_brute_force(spark):
     for one_block in (True, False):
         docs = frame(spark, texts)
         index = decontaminate.build_index(docs, block_bytes=1 << 23 if one_block else 700)
-        old = decontaminate.QUERY_BLOCK_BYTES
         got = by_id(decontaminate.search(index, spark.createDataFrame(items, "item_id long, text string")))
-        decontaminate.QUERY_BLOCK_BYTES = old
         for i, t in enumerate(texts):
             w, hit, found = words_of(t), set(), set()
             for item, text in items:
@@ -188,14 +186,12 @@ def test_decontamination_equals_brute_force(spark):
             assert {k for s in r["spans"] for k in range(s["start"], s["end"])} == hit
 
 
-def test_several_query_blocks_give_the_same(spark, monkeypatch):
+def test_several_query_blocks_give_the_same(spark):
     items = spark.createDataFrame([(k, f"item number {k} says this and that of it") for k in range(30)], "item_id long, text string")
     docs = frame(spark, [f"before item number {k} says this and that of it after" for k in range(30)])
     index = decontaminate.build_index(docs)
     one = by_id(decontaminate.search(index, items))
-    real = decontaminate.query_blocks
-    monkeypatch.setattr(decontaminate, "query_blocks", lambda i, a, b: real(i, a, b, 200))
-    assert by_id(decontaminate.search(index, items)) == one
+    assert by_id(decontaminate.search(index, items, most=20)) == one
     assert one[7][0]["n_items"] == 1
 
 
