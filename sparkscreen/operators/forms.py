@@ -7,20 +7,30 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinds import kind, struct
 from .html import normalize_text, parse, raw_text, unescape
 
+# Characters that compatibility composition would turn into something else than they look like.
+BEFORE = {
+    "\u00b4": "'", "\u00b8": ",", "\u02dc": "~", "\u02dd": "''", "\u0384": "'", "\u03f2": "c", "\u03f9": "C", "\u1dba": "^", "\u1fbd": "'", "\u1fbf": "'", "\u1fc0": "~", "\u1ffe": "'", "\ufe31": "l", "\ufe3f": "^", "\ufe58": "-",
+}
+# Letters read as Latin ones where Unicode's own table names no Latin letter; they win over that table.
+REVIEWED = {
+    "к": "k", "т": "t", "п": "n", "П": "n", "м": "m", "и": "n", "И": "n", "н": "h", "д": "g", "Д": "g", "л": "n", "Л": "n",
+    "κ": "k", "τ": "t", "η": "n", "μ": "u", "ε": "e", "β": "b", "π": "n", "Π": "n", "χ": "x",
+}
 #: Look-alikes that compatibility composition leaves: Greek and Cyrillic letters by the Latin ones they look like.
-#: My own short list; a fuller table can be passed as a dimension built by ``sources.fold_table``.
+#: A short list; ``sources.tables.fold_table`` reads a full one from Unicode's file, and ``with_table`` takes it.
 LOOKALIKES = {
     **dict(zip("АВЕКМНОРСТХІЈЅаеорсухіјѕһԁԛԝ", "ABEKMHOPCTXIJSaeopcyxijshdqw", strict=True)),
     **dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρ", "ABEZHIKMNOPTYXovp", strict=True)),
-    "ı": "i", "ɡ": "g", "ⅼ": "l", "∕": "/", "‐": "-", "‑": "-", "–": "-", "❬": "<", "❭": ">", "‹": "<", "›": ">", "ǀ": "l", "Ӏ": "l", "ӏ": "l",
+    **REVIEWED, "ı": "i", "ɡ": "g", "ⅼ": "l", "∕": "/", "‐": "-", "‑": "-", "–": "-", "❬": "<", "❭": ">", "‹": "<", "›": ">", "ǀ": "l", "Ӏ": "l", "ӏ": "l", "І": "l", "Ι": "l", "∣": "l",
 }
-#: Sources that may stand for a capital i as well as for a small l.
-AMBIGUOUS = frozenset("ǀӀӏⅼΙІ")
+#: Sources that may stand for a capital i as well as for a small l: by the rule that the table reads them as l.
+AMBIGUOUS_TARGET = "l"
 
 
 def strip_controls(text: str) -> str:
@@ -31,30 +41,66 @@ def decode(text: str, levels: int) -> str:
     return normalize_text(strip_controls(unescape(text, levels)))
 
 
-def fold(text: str, table: dict[str, str] = LOOKALIKES) -> tuple[list[str], bool]:
-    """Folded forms that differ from the text, and whether a form grew too long."""
-    if text.isascii():
-        return [], False
-    wide = unicodedata.normalize("NFKC", text)
-    if len(wide) > max(2 * len(text), len(text) + 256):
-        return [], True
-    forms = []
-    for as_i in (False, True):
-        got = normalize_text("".join("i" if as_i and c in AMBIGUOUS else table.get(c, c) for c in wide))
-        if got != text and got not in forms:
-            forms.append(got)
-    return forms, False
+class Fold:
+    """Reads look-alikes as Latin letters: ``BEFORE``, composition, then the table, whose entries for ``l`` may also mean ``i``."""
+
+    def __init__(self, table: dict[str, str] = LOOKALIKES):
+        self.before = str.maketrans(BEFORE)
+        self.as_l = str.maketrans({k: v for k, v in table.items() if not k.isascii()})
+        self.ambiguous = {k for k, v in table.items() if v == AMBIGUOUS_TARGET and not k.isascii()}
+        self.as_i = self.as_l | dict.fromkeys(map(ord, self.ambiguous), "i")
+
+    def __call__(self, text: str) -> tuple[list[str], bool]:
+        """Folded forms that differ from the text, and whether a form grew too long."""
+        if text.isascii():
+            return [], False
+        most = max(2 * len(text), len(text) + 256)
+        wide = unicodedata.normalize("NFKC", text.translate(self.before))
+        if len(wide) > most:
+            return [], True
+        read = [wide.translate(self.as_l)]
+        if not self.ambiguous.isdisjoint(wide):
+            read.append(wide.translate(self.as_i))
+        if len(read[0]) > most:
+            return [], True
+        forms = []
+        for got in map(normalize_text, read):
+            if got != text and got not in forms:
+                forms.append(got)
+        return forms, False
+
+
+fold = Fold()
 
 
-def scan_forms(text: str, parsed: bool, table: dict[str, str] = LOOKALIKES) -> tuple[list[str], bool]:
+def scan_forms(text: str, parsed: bool, folded: Fold = fold) -> tuple[list[str], bool]:
     """As it is, decoded once (twice if the text wasn't parsed as HTML), and folded."""
     forms = [text]
     plain = decode(text, 1 if parsed else 2)
     if plain != text:
         forms.append(plain)
-    folded, refused = fold(plain, table)
-    return forms + [f for f in folded if f not in forms], refused
+    more, refused = folded(plain)
+    return forms + [f for f in more if f not in forms], refused
+
+
+def with_table(table: DataFrame | None, parsed: bool):
+    """A column function text → struct<forms, refused> with the look-alikes of a table (source, target).
+
+    The table has a row a code point at most, which bounds what the driver holds.
+    """
+    own = Fold({**{r["source"]: r["target"] for r in table.select("source", "target").limit(MOST_SOURCES).collect()}, **REVIEWED}) if table is not None else fold
+
+    @F.pandas_udf(struct("forms array<string>, refused boolean"))
+    def forms_of(text: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in text:
+            got = [scan_forms(t or "", parsed, own) for t in batch]
+            yield pd.DataFrame({"forms": [g[0] for g in got], "refused": [g[1] for g in got]})
+
+    return forms_of
+
 
+#: Code points there are.
+MOST_SOURCES = 0x110000
 
 @F.pandas_udf(struct("forms array<string>, refused boolean"))
 def text_forms(text: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
