@@ -216,6 +216,31 @@ def within_budget(entries: DataFrame, budget: int, list_col: str = "list", pos_c
     return entries.withColumn("bytes_so_far", F.sum(F.octet_length(entry_col) + 1).over(run) - 1).where(F.col("bytes_so_far") <= budget)
 
 
+def domain_entries(entries: DataFrame, budget: int, list_col: str = "list", pos_col: str = "pos", entry_col: str = "entry", deny_col: str = "deny") -> DataFrame:
+    """Policy entries made canonical, with ``entry`` null for those that are dropped.
+
+    A leading dot makes an entry stand for all names below it.  Names have two labels at least, but in a list of denied
+    hosts, which may name one; addresses stand for themselves only.  Allowing lists end where their bytes, with a
+    separator each, pass the budget; denying lists never do.  A list is one bounded setting.
+    """
+    run = Window.partitionBy(list_col).orderBy(pos_col)
+    rows = entries.withColumn("_bytes", F.sum(F.octet_length(entry_col) + 1).over(run) - 1)
+    rows = rows.withColumn("_plain", F.regexp_replace(entry_col, r"^\s+|\s+$", "")).withColumn("_below", F.startswith(F.col("_plain"), F.lit(".")))
+    rows = rows.withColumn("_host", host_info(F.expr("if(_below, substring(_plain, 2), _plain)")))
+    labels = F.size(F.split(F.col("_host.host"), r"\."))
+    name = (F.col("_host.kind") == "name") & (F.length("_host.host") <= 253) & ((labels > 1) | (F.col(deny_col) & ~F.col("_below")))
+    address = F.col("_host.kind").isin("ipv4", "ipv6") & ~F.col("_below")
+    good = F.coalesce((name | address) & (F.col(deny_col) | (F.col("_bytes") <= budget)), F.lit(False))
+    canonical = F.concat(F.when(F.col("_below") & ~F.col(deny_col), ".").otherwise(""), F.col("_host.host"))
+    return rows.select(*[c for c in entries.columns if c != entry_col], F.when(good, canonical).alias(entry_col))
+
+
+def denied_lists_fit(entries: DataFrame, budget: int, list_col: str = "list", entry_col: str = "entry") -> DataFrame:
+    """(list, bytes, fits): a list of denied hosts is refused as a whole when its raw bytes pass the budget."""
+    size = F.sum(F.octet_length(entry_col)) + F.count("*") - 1
+    return entries.groupBy(list_col).agg(size.alias("bytes")).withColumn("fits", F.col("bytes") <= budget)
+
+
 def domain_changed(chain: Column) -> Column:
     """Whether the first and last URL of a redirect chain have different authorities."""
     return (F.size(chain) > 1) & (F.lower(parts(F.get(chain, F.lit(0)))["authority"]) != F.lower(parts(F.element_at(chain, -1))["authority"]))

@@ -22,7 +22,9 @@ FAILURES = {
     "extraction_failed": "Document extraction failed.",
     "busy": "Document extraction is currently busy. Please try again.",
 }
-_RESERVED = ("example", "example.com", "example.net", "example.org", "invalid", "test", "localhost")
+# Hosts that are nobody's, and public ends under which a bare name is taken for a host.
+RESERVED_NAMES, RESERVED_ENDS = ("example.com", "example.net", "example.org"), ("example", "test", "invalid")
+PUBLIC_ENDS = tuple("com net org io co ai info biz xyz me app dev ru cn de uk us fr in site online top ly gl edu gov tv cc eu".split())
 
 
 def markdown_title(text: Column, fallback: Column) -> Column:
@@ -160,33 +162,42 @@ def deadline(rows: DataFrame, key: str, pos: str, cost: str, budget: float) -> D
     return rows.withColumn("in_time", F.coalesce(F.sum(cost).over(before), F.lit(0.0)) < budget)
 
 
-_URL = re.compile(r"(https?://)([A-Za-z0-9.-]+)", re.I)
+_ADDRESS = re.compile(r"""\b([a-z][a-z0-9+.\-]*://)([^/\s?#'"<>`)\]]+)""", re.I)
+_NAME = re.compile(r"\b((?:[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?\.)+(?:" + "|".join(PUBLIC_ENDS) + r"))\b", re.I)
+_ODD = re.compile(r"[^a-z0-9\-]+")
+
+
+def is_reserved(host: str) -> bool:
+    labels = host.rstrip(".").lower().split(".")
+    return labels[-1] in RESERVED_ENDS or ".".join(labels[-2:]) in RESERVED_NAMES
 
 
 def reserved_host(host: str) -> str:
-    """A host under a reserved top level: junk becomes hyphens, 48 characters."""
-    h = host.lower().rstrip(".")
-    if any(h == r or h.endswith("." + r) for r in _RESERVED):
-        return h
-    return re.sub(r"[^a-z0-9]+", "-", h).strip("-")[:48].strip("-") + ".example"
+    """A host under a reserved end: without www and its own end, junk as hyphens, 48 characters; reserved ones stay."""
+    if is_reserved(host):
+        return host
+    labels = [x for x in host.lower().split(".") if x]
+    labels = labels[labels[:1] == ["www"] :]
+    return (_ODD.sub("-", "-".join(labels[:-1] or labels)).strip("-") or "host")[:48] + ".example"
+
+
+def _host_of(authority: str) -> str:
+    place = authority.rpartition("@")[2]
+    return place[1:].partition("]")[0] if place.startswith("[") else place.partition(":")[0]
+
+
+def with_reserved_hosts(text: str) -> str:
+    """Every host that the text names, in an address or alone, made a reserved one; users and ports go."""
+    text = _ADDRESS.sub(lambda m: m[1] + reserved_host(_host_of(m[2])), text)
+    return _NAME.sub(lambda m: reserved_host(m[1]), text)
 
 
-@F.pandas_udf(struct("text string, changed int"))
+@F.pandas_udf(struct("text string, changed boolean"))
 def reserved_urls(text: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Texts whose URLs point to reserved hosts only, and how many were changed."""
+    """Texts whose hosts are reserved ones only, and whether anything was changed."""
     for batch in text:
-        rows = []
-        for t in batch:
-            n = 0
-
-            def swap(m):
-                nonlocal n
-                new = reserved_host(m[2])
-                n += new != m[2].lower()
-                return m[1] + new
-
-            rows.append((None if t is None else _URL.sub(swap, t), n))
-        yield pd.DataFrame(rows, columns=["text", "changed"])
+        new = [None if t is None else with_reserved_hosts(t) for t in batch]
+        yield pd.DataFrame({"text": new, "changed": [a != b for a, b in zip(batch, new, strict=True)]})
 
 
 def slug_url(genre: Column, title: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import auxiliary as aux
+from ..operators import render
 from ..sources.tables import table
 from .registry import query
 
@@ -47,7 +48,10 @@ pairs("markdown_titles", ["x\n# Title \ny", "no title"], ["Title", "fb"], lambda
 pairs("slug_urls", ["A  Title!", "--x--"], ["https://news.example/a-title", "https://news.example/x"], lambda v: aux.slug_url(F.lit("News"), v))
 pairs("rst_prose", ["T\n===\n.. note::\n   gone\n\nkept", "a"], ["T\nkept", "a"], lambda v: F.regexp_replace(aux.rst_prose(v), "\n", "\n"))
 pairs("upload_names", ["a\\b/c.txt", "\x01x.pdf"], ["c.txt", "x.pdf"], text.upload_name)
-pairs("reserved_urls", ["see http://Foo.com/x", "http://a.example/"], ["see http://foo-com.example/x", "http://a.example/"], lambda v: aux.reserved_urls(v)["text"])
+pairs(
+    "reserved_urls", ["see http://Foo.com/x", "http://a.example/", "ftp://u:p@www.Big_Shop.co.uk:21/a b", "mail x@deep.sub.host.io now", "no host"],
+    ["see http://foo.example/x", "http://a.example/", "ftp://big-shop-co.example/a b", "mail x@deep-sub-host.example now", "no host"], lambda v: aux.reserved_urls(v)["text"],
+)
 pairs("host_classes", ["10.0.0.1", "::ffff:10.0.0.1", "Example.com.", "1.2.3", "2606:4700::1111"], ["private_literal", "embedded_private", "example.com", "host_numeric", "2606:4700::1111"], lambda v: F.coalesce(urls.host_info(v)["class"], urls.host_info(v)["reason"], urls.host_info(v)["host"]))
 
 
@@ -115,3 +119,44 @@ def whole_excerpts(spark, sf_dir):
 def hourly_counters(spark, sf_dir):
     w = F.window(F.col("ts"), "1 hour")
     return events(spark, sf_dir).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")).select(F.col("w.start").alias("hour"), "event_type", "n", "total")
+
+
+def _policy_lists(spark, sf_dir):
+    """Hosts of pages as entries of policy lists, some with dots, spaces or a single label."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("url", "^https?://([^/:?#]+)", 1)).alias("host"))
+    kind = F.col("page_id") % 5
+    entry = F.when(kind == 0, F.concat(F.lit("."), "host")).when(kind == 1, F.concat(F.lit("  "), F.upper("host"), F.lit(" "))).when(kind == 2, F.lit("single")).when(kind == 3, F.lit(".10.0.0.1")).otherwise(F.col("host"))
+    return p.select((F.col("page_id") % 16).alias("list"), F.col("page_id").alias("pos"), entry.alias("entry"), (F.col("page_id") % 16 % 2 == 0).alias("deny"))
+
+
+_LISTS = """p AS (SELECT page_id % 16 AS list, page_id AS pos, page_id % 5 AS kind, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, page_id % 16 % 2 = 0 AS deny FROM pages),
+e AS (SELECT *, CASE kind WHEN 0 THEN '.' || host WHEN 1 THEN '  ' || upper(host) || ' ' WHEN 2 THEN 'single' WHEN 3 THEN '.10.0.0.1' ELSE host END AS entry FROM p)"""
+
+
+@query(f"""WITH {_LISTS}, b AS (SELECT *, sum(strlen(entry) + 1) OVER (PARTITION BY list ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS used FROM e)
+SELECT list, pos, CASE WHEN kind = 3 OR NOT (deny OR used <= 200) OR (kind = 2 AND NOT deny) THEN NULL WHEN kind = 2 THEN 'single' WHEN kind = 0 AND NOT deny THEN '.' || host ELSE host END AS entry FROM b""")
+def domain_entries(spark, sf_dir):
+    return urls.domain_entries(_policy_lists(spark, sf_dir), 200).select("list", "pos", "entry")
+
+
+@query(f"WITH {_LISTS} SELECT list, CAST(sum(strlen(entry)) + count(*) - 1 AS BIGINT) AS bytes, sum(strlen(entry)) + count(*) - 1 <= 300 AS fits FROM e WHERE deny GROUP BY list")
+def denied_lists_fit(spark, sf_dir):
+    return urls.denied_lists_fit(_policy_lists(spark, sf_dir).where("deny"), 300)
+
+
+_ESCAPED = "replace(replace(replace(replace(replace(b, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, '') || chr(10) || chr(10) || 'a <b> & "c"', '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS blocks FROM documents)
+SELECT doc_id, md5('<article><h1>T &amp; t</h1>' || array_to_string(list_transform(blocks, lambda b: '<p>' || replace({_ESCAPED}, chr(10), '<br>') || '</p>'), '') || '</article>') AS digest FROM d""")
+def rendered_pages(spark, sf_dir):
+    """Documents as pages of the corpus."""
+    body = render.payload("benign_page", F.lit("https://x.example/"), F.lit("T & t"), F.concat(F.coalesce("text", F.lit("")), F.lit('\n\na <b> & "c"')))["body_html"]
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(body).alias("digest"))
+
+
+@query("""WITH c AS (SELECT lang, count(*) AS n, round_even(count_if(doc_id % 3 = 0) / count(*)::DOUBLE, 4) AS rate FROM documents GROUP BY lang), l AS (SELECT 2 + row_number() OVER (ORDER BY lang) AS line, '| ' || lang || ' | ' || CAST(n AS VARCHAR) || ' | ' || printf('%.4f', rate) || ' |' AS text FROM c)
+SELECT CAST(line AS BIGINT) AS line, text FROM l UNION ALL SELECT 1, '| lang | n | rate |' UNION ALL SELECT 2, '|---|---|---|'""")
+def markdown_report(spark, sf_dir):
+    cells = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), (F.count_if(F.col("doc_id") % 3 == 0) / F.count("*")).alias("rate"))
+    return render.markdown_table(cells, ["lang", "n", "rate"], ["lang"])
