@@ -15,7 +15,8 @@ the directories that declare a licence; files then join their directory.
 
 Defined results: null and empty texts have no statement; files with a null path have
 no directory and inherit nothing; of several licence files in a directory the most
-alike counts, then the first template; equal templates' scores go to the first;
+alike counts, then the first template; a mere copyright phrase counts only where no licence is
+stated, and not in a licence file that reads like a licence without being one of the known ones; equal templates' scores go to the first;
 repeated rows stay; other columns are handed through, whatever they are called, but for
 those named as a column of the result, which the result's own replace.
 """
@@ -32,10 +33,21 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import let
 from .license_bodies import BODIES, HEADERS
-from .shared import staged
+from .shared import Scratch
 
 #: Least cosine of a statement.
 LIKE = 0.6
+#: Least cosine of a whole licence file with a body or a header of a licence that has versions: those are alike, and so are others of their kind.
+WHOLE_LIKE = 0.88
+#: The same for other licences.
+BODY_LIKE = 0.7
+#: The template that states no licence.
+COPYRIGHT = "Proprietary"
+#: What a text must say to be of that version, in terms joined by spaces; the texts of versions differ in little else.
+VERSIONS = {
+    "Apache-2.0": r"\b2 0\b", "MPL-2.0": r"\b2 0\b", "GPL-3.0": r"\b(?:version |v|gpl |gplv)3\b", "GPL-2.0": r"\b(?:version |v|gpl |gplv)2\b(?! 1\b)", "LGPL-3.0": r"\b(?:version |v|lgpl |lgplv)3\b", "LGPL-2.1": r"\b2 1\b",
+    "AGPL-3.0": r"\b(?:version |v|agpl |agplv)3\b", "CC0-1.0": r"\bcc0\b",
+}
 #: Base names, in lower case and without what follows a dot, dash or underscore, of files that speak for their directory.
 LICENCE_NAMES = ("license", "licence", "copying", "copyright", "notice", "unlicense")
 #: Templates: name and statement, in order of preference.
@@ -137,19 +149,21 @@ def can_be_like(words: Column, templates, idf: dict[str, float], like: float) ->
     return let(F.struct(tf.alias("tf"), square.alias("square")), any_fits)
 
 
-def best_templates(units: DataFrame, frequencies: DataFrame, n: int, templates, idf: dict[str, float], for_lines: int) -> DataFrame:
-    """units: (_row, unit, whole, words).  (_row, best): struct<score, place> of the best cosine over the row's units and the templates, the first of equals.
+def best_templates(units: DataFrame, frequencies: DataFrame, n: int, templates, idf: dict[str, float], for_lines: int, like: float, scratch: Scratch) -> DataFrame:
+    """units: (_row, unit, whole, words).
+    (_row, best): struct<licence, score, place> of the best cosine over the row's units and the templates, the first of equals.
 
     Every term, of a template or not, has its own weight, which is joined to it.
     Units that aren't whole files are compared with the first ``for_lines`` templates only.
     """
+    names = F.array(*[F.lit(name) for name, _ in templates])
     by_term: dict[str, list] = {}
     for k, (_, counts) in enumerate(templates):
         for t, c in counts.items():
             by_term.setdefault(t, []).append({"place": k, "share": c * idf[t]})
     rows = [{"term": t, "shares": s} for t, s in by_term.items()]
     kind = "array<struct<place:int,share:double>>"
-    shares = staged(units.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<term:string,shares:{kind}>>"))), "shares")
+    shares = scratch.stage(units.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<term:string,shares:{kind}>>"))), "shares")
     key = ["_row", "unit", "whole"]
     counted = units.select(*key, F.explode("words").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("c"))
     weighed = counted.join(frequencies, "term").join(F.broadcast(shares), "term", "left").withColumn("w", F.col("c") * weight(n, F.col("df"), F.log))
@@ -157,23 +171,31 @@ def best_templates(units: DataFrame, frequencies: DataFrame, n: int, templates,
     own = F.array(F.struct(F.lit(-1).alias("place"), F.col("w").alias("share")))
     parts = weighed.select(*key, "w", F.inline(F.concat(own, F.coalesce("shares", F.array().cast(kind))))).where(F.col("whole") | (F.col("place") < for_lines))
     dots = parts.groupBy(*key, "place").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    each = dots.groupBy("_row", "unit").agg(F.sum(F.when(F.col("place") < 0, F.col("dot"))).alias("square"), F.collect_list(F.when(F.col("place") >= 0, F.struct("place", "dot"))).alias("dots"))
+    each = dots.groupBy(*key).agg(F.sum(F.when(F.col("place") < 0, F.col("dot"))).alias("square"), F.collect_list(F.when(F.col("place") >= 0, F.struct("place", "dot"))).alias("dots"))
     norms = F.array(*[F.lit(math.sqrt(sum((c * idf[t]) ** 2 for t, c in counts.items()))) for _, counts in templates])
     # Rounded, so that the order of a sum decides nothing.
-    scores = F.transform("dots", lambda d: F.struct(F.round(d["dot"] / (F.sqrt("square") * F.get(norms, d["place"])), 9).alias("score"), (-d["place"]).alias("place")))
-    return each.groupBy("_row").agg(F.max(F.array_max(scores)).alias("best"))
+    scores = F.transform("dots", lambda d: F.struct((F.get(names, d["place"]) != COPYRIGHT).alias("licence"), F.round(d["dot"] / (F.sqrt("square") * F.get(norms, d["place"])), 9).alias("score"), (-d["place"]).alias("place")))
+    body = lambda x: F.col("whole") & (-x["place"] >= for_lines)
+    said = F.array_join("words", " ")
+    versioned = F.array(*[F.lit(name in VERSIONS) for name, _ in templates])
+    signed = F.array_compact(F.array(*[F.when(said.rlike(VERSIONS[name]) if name in VERSIONS else F.lit(True), F.lit(k)) for k, (name, _) in enumerate(templates)]))
+    rows = each.withColumn("scores", scores).join(units.select(*key, signed.alias("signed")), key)
+    fits = lambda x: F.array_contains("signed", -x["place"]) & (x["score"] >= F.when(~body(x), F.lit(like)).when(F.get(versioned, -x["place"]), F.lit(WHOLE_LIKE)).otherwise(BODY_LIKE))
+    legal = F.exists("scores", lambda x: body(x) & (x["score"] >= like))
+    best = rows.groupBy("_row").agg(F.max(F.array_max(F.filter("scores", fits))).alias("best"), F.bool_or(legal).alias("legal"))
+    return best.where("best is not null and (best.licence or not legal)").select("_row", "best")
 
 
 def _parent(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def statements(files: DataFrame, templates=TEMPLATES, like: float = LIKE, bodies=WHOLE) -> DataFrame:
+def statements(files: DataFrame, scratch: Scratch, templates=TEMPLATES, like: float = LIKE, bodies=WHOLE) -> DataFrame:
     """files: (key columns, path, text).  Adds directory, is_licence_file, own_place and own_score (null without a statement), and drops the text."""
     counted = template_terms(templates)
     every = [*counted, *bodies]
     vocabulary = sorted({t for _, c in every for t in c})
-    frequencies = staged(document_frequencies(files), "frequencies")
+    frequencies = scratch.stage(document_frequencies(files), "frequencies")
     n = files.count()
     met = {r["term"]: r["df"] for r in frequencies.where(F.col("term").isin(vocabulary)).collect()}
     idf = {t: weight(n, met.get(t, 0)) for t in vocabulary}
@@ -193,8 +215,8 @@ def statements(files: DataFrame, templates=TEMPLATES, like: float = LIKE, bodies
     file = F.when(F.col("is_licence_file"), F.array(terms_of(text))).otherwise(none)
     units = F.concat(F.transform(alike, unit(False)), F.transform(file, unit(True)))
     rest = [c for c in files.columns if c != "text"]
-    asking = staged(named.select(*rest, "is_licence_file", _parent(F.col("path")).alias("directory"), F.monotonically_increasing_id().alias("_row"), units.alias("units")), "units")
-    best = best_templates(asking.select("_row", F.posexplode("units").alias("unit", "u")).select("_row", "unit", "u.*"), frequencies, n, every, idf, len(counted)).where(F.col("best.score") >= like)
+    asking = scratch.stage(named.select(*rest, "is_licence_file", _parent(F.col("path")).alias("directory"), F.monotonically_increasing_id().alias("_row"), units.alias("units")), "units")
+    best = best_templates(asking.select("_row", F.posexplode("units").alias("unit", "u")).select("_row", "unit", "u.*"), frequencies, n, every, idf, len(counted), like, scratch)
     found = asking.drop("units").join(best, "_row", "left")
     return found.select(*rest, "is_licence_file", "directory", (-F.col("best.place")).alias("own_place"), F.col("best.score").alias("own_score"))
 
@@ -214,14 +236,19 @@ def license_scan(files: DataFrame, templates=TEMPLATES, like: float = LIKE, bodi
     """files: (key columns, path, text).  One row a file: key columns, path, licence, basis (own, inherited, none), score, from_directory."""
     keys = [c for c in files.columns if c not in ("path", "text", *RESULT)]
     files = files.select(F.struct(*keys).alias("keys") if keys else F.lit(0).alias("keys"), "path", "text")
-    found = staged(statements(files, templates, like, bodies), "statements")
+    scratch = Scratch(files.sparkSession)
+    found = scratch.stage(statements(files, scratch, templates, like, bodies), "statements")
+    scratch.forget("frequencies", "shares", "units")
     declared = found.where("is_licence_file and own_place is not null").groupBy("directory").agg(F.max_by("own_place", F.struct("own_score", -F.col("own_place"))).alias("place")).withColumnRenamed("directory", "from_directory")
     directories = found.where("directory is not null").select("directory").distinct()
-    inherited = staged(nearest_declared(directories, staged(declared, "declared")), "inherited")
+    inherited = scratch.stage(nearest_declared(directories, scratch.stage(declared, "declared")), "inherited")
     names = F.array(*[F.lit(n) for n, _ in [*templates, *bodies]])
     both = found.join(inherited, "directory", "left")
     place = F.coalesce("own_place", "place")
-    return both.select(
+    out = both.select(
         *[F.col("keys")[c].alias(c) for c in keys], "path", F.when(place.isNotNull(), F.get(names, place.cast("int"))).alias("licence"), F.when(F.col("own_place").isNotNull(), "own").when(F.col("place").isNotNull(), "inherited").otherwise("none").alias("basis"),
         "own_score", F.when(F.col("own_place").isNull(), F.col("from_directory")).alias("from_directory"),
     )
+    out = scratch.stage(out, "licences")
+    scratch.drop("statements", "declared", "inherited")
+    return out
