@@ -34,12 +34,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import released, small_parts
 from .units import UnitMemo
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 ENCODED_SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>, decoded string"
-#: Arcs kept in the transition table.
-ARCS_KEPT = 2_000_000
+#: Arcs kept in the transition table; a full table is begun anew.
+ARCS_KEPT = 400_000
 _OTHER_SPACE = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"[\p{White_Space}]+")
 
@@ -222,25 +223,20 @@ class WordBpe:
         return " ".join([self.names[i] for i in ids])
 
 
-_encoders: dict[str, WordBpe] = {}
-
-
 def encoder(path: str) -> WordBpe:
-    """One for each Python worker, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordBpe(path)
-    return _encoders[path]
+    """One for each task: a worker that waits for its next task holds none."""
+    return WordBpe(path)
 
 
+@released
 def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     own = encoder(path)
-    for batch in batches:
-        for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-            got = own.encode_joined([x or "" for x in part.column(1).to_pylist()])
-            sha = [[hashlib.sha256(g[k].encode("utf-8", "surrogatepass")).hexdigest() for g in got] for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array(sha[0], pa.string()), pa.array(sha[1], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            )
+    for part in small_parts(batches, 1):
+        got = own.encode_joined([x or "" for x in part.column(1).to_pylist()])
+        sha = [[hashlib.sha256(g[k].encode("utf-8", "surrogatepass")).hexdigest() for g in got] for k in (1, 2)]
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array(sha[0], pa.string()), pa.array(sha[1], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        )
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -252,15 +248,15 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     return _rows(docs, id_col, text_col).mapInArrow(partial(_digests, path=path), SCHEMA)
 
 
+@released
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     own = encoder(path)
-    for batch in batches:
-        for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-            got = own.encode_joined([x or "" for x in part.column(1).to_pylist()])
-            ids = np.fromstring(" ".join([g[1] for g in got]), np.int32, sep=" ")
-            edge = np.cumsum([0] + [g[0] for g in got]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(ids[: edge[-1]]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.int64()), lists, pa.array([g[2] for g in got], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+    for part in small_parts(batches, 1):
+        got = own.encode_joined([x or "" for x in part.column(1).to_pylist()])
+        ids = np.fromstring(" ".join([g[1] for g in got]), np.int32, sep=" ")
+        edge = np.cumsum([0] + [g[0] for g in got]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(ids[: edge[-1]]))
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.int64()), lists, pa.array([g[2] for g in got], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

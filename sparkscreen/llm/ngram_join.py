@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import SPACED_WORDS, blocks, mixed, rolling, sequence_hash, text_buffers, words
 from .graph import Steps, components
-from .shared import Scratch
+from .shared import Scratch, released
 
 WIDTH, PERCENT = 5, 80
 #: Bits of the smallest parity bitmap; larger sets have wider ones.
@@ -49,7 +49,7 @@ BITMAP_BITS = 1024
 #: Share of a set, its first n-grams by hash, that is counted to find late ones: more than a prefix, which late ones leave.
 COUNTED_PERCENT = 30
 #: Bits of a table of n-grams, a power of two, and how many n-grams it takes.
-TABLE_BITS, TABLE_MOST = 1 << 27, 1 << 22
+TABLE_BITS, TABLE_MOST = 1 << 26, 1 << 22
 #: Rounds, at most, in which each class has one candidate pair decided, before all others are.
 CLOSEST_ROUNDS = 5
 #: Bytes of bitmaps that are compared at once.
@@ -57,7 +57,7 @@ PAIR_BYTES = 4 << 20
 #: Least hashes of a set, by which it meets its leader.
 LOW = 4
 #: n-grams that a task holds before it sends their counts.
-COUNTS_HELD = 1 << 21
+COUNTS_HELD = 1 << 20
 TILE_ROWS = 1024
 #: A Bloom filter has 16 bits for each member, up to so many bits in all.  Past that it lets more rows through, which exact joins settle.
 BLOOM_MOST_BITS = 1 << 27
@@ -120,6 +120,7 @@ def _packed(grams: np.ndarray, indexed: np.ndarray | None, parts: int) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), cut(low), cut(n)], names=["part", "grams", "counts"])
 
 
+@released
 def _of_texts(batches: Iterator[pa.RecordBatch], width: int, parts: int) -> Iterator[pa.RecordBatch]:
     """The first n-grams by hash of a task's different sets."""
     seen: set[bytes] = set()
@@ -146,6 +147,7 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, row, np.arange(len(row)) - (np.cumsum(size) - size)[row]
 
 
+@released
 def _of_prefixes(batches: Iterator[pa.RecordBatch], percent: int, parts: int) -> Iterator[pa.RecordBatch]:
     pending, held = [], 0
     for batch in batches:
@@ -159,6 +161,7 @@ def _of_prefixes(batches: Iterator[pa.RecordBatch], percent: int, parts: int) ->
         yield _packed(*map(np.concatenate, zip(*pending, strict=True)), parts)
 
 
+@released
 def _several(batches: Iterator[pa.RecordBatch], indexed: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by part: the n-grams of a part that come twice or more, with their numbers; ``indexed``: only those in some index."""
 
@@ -190,6 +193,7 @@ def _several(batches: Iterator[pa.RecordBatch], indexed: bool) -> Iterator[pa.Re
 _FLOORS = np.array([2, 3, 4, 6, 8, *(2**k for k in range(4, 32))], np.int64)
 
 
+@released
 def _floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each floor, how many n-grams reach it."""
     n = np.zeros(len(_FLOORS), np.int64)
@@ -199,6 +203,7 @@ def _floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(_FLOORS), pa.array(n)], names=["least", "n"])
 
 
+@released
 def _places(batches: Iterator[pa.RecordBatch], least: int, parts: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Places in the table of the n-grams that reach the floor, packed."""
     of_part, size = parts.bit_length() - 1, bits.bit_length() - 1
@@ -289,6 +294,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
 
 
+@released
 def _features(batches: Iterator[pa.RecordBatch], late, width: int, percent: int) -> Iterator[pa.RecordBatch]:
     table = late.value
     for batch in batches:
@@ -339,6 +345,7 @@ def in_bloom(bloom: np.ndarray, keys: pa.Array) -> np.ndarray:
     return out
 
 
+@released
 def _filtered(batches: Iterator[pa.RecordBatch], bloom, at: int, member: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield batch.filter(pa.array(in_bloom(bloom.value, batch.column(at)) == member))
@@ -349,6 +356,7 @@ def may_be_in(df: DataFrame, column: str, bloom, member: bool = True) -> DataFra
     return df.mapInArrow(partial(_filtered, bloom=bloom, at=df.columns.index(column), member=member), df.schema)
 
 
+@released
 def _postings(batches: Iterator[pa.RecordBatch], met) -> Iterator[pa.RecordBatch]:
     """Those n-grams of prefixes that may meet another class, with their places."""
     for batch in batches:
@@ -361,6 +369,7 @@ def _postings(batches: Iterator[pa.RecordBatch], met) -> Iterator[pa.RecordBatch
 # --- deciding pairs ----------------------------------------------------------
 
 
+@released
 def _sets(batches: Iterator[pa.RecordBatch], bloom, width: int) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()  # equal sets of a task are sent once
     for batch in batches:
@@ -388,6 +397,7 @@ def overlap(s: np.ndarray, t: np.ndarray) -> int:
     return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
 
 
+@released
 def _decide(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yes = []
@@ -432,6 +442,7 @@ def closest(pairs: DataFrame) -> DataFrame:
     return pairs.join(best, ["a", "b"], "left_semi")
 
 
+@released
 def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows whose sizes and bitmaps leave a link possible; the last four columns are n and bitmap of both."""
     for batch in batches:
@@ -452,6 +463,7 @@ def possible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 # --- tiles -------------------------------------------------------------------
 
 
+@released
 def _tile(batches: Iterator[pa.RecordBatch], percent: int, closest: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by tile: pairs of a tile whose bitmaps leave the overlap possible."""
     held: list[pa.RecordBatch] = []
@@ -572,8 +584,8 @@ def text_key(text) -> F.Column:
 
 
 def linked_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document, in the shared folder: doc_id, content, n, and ``component``, the
-    number of its component of linked classes; null for empty sets and null doc_ids."""
+    """One row a document, in the shared folder: doc_id, content, n, ``component``, the number of its component of
+    linked classes, and ``rows``, how many rows that has, both null for empty sets and null doc_ids, and ``least``, its smallest doc_id."""
     spark = docs.sparkSession
     sc, scratch = spark.sparkContext, Scratch(spark)
     docs = _rows_of(docs, id_col, text_col)
@@ -627,21 +639,21 @@ def linked_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_
             break
         last = 4 * linked <= asked
     scratch.drop("postings", "sizes")
-    of_names = scratch.stage(names.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").select("name", F.coalesce("component", "cid").alias("component")), "named")
+    grouped = scratch.stage(names.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").select("name", "doc_id", "copies", F.coalesce("component", "cid").alias("component")), "grouped")
+    least = grouped.groupBy("component").agg(F.min("doc_id").alias("least"), F.sum("copies").alias("rows")).where("rows > 1")
+    of_names = grouped.join(least, "component", "left").select("name", "component", F.coalesce("least", "doc_id").alias("least"), F.coalesce("rows", F.lit(1).cast("bigint")).alias("rows"))
     # Rows without a name have no partner, and aren't sent to one task for it.
-    some = rows.where("name is not null").join(of_names, "name").select("doc_id", "content", "n", "component")
-    out = scratch.stage(some.unionByName(rows.where("name is null").select("doc_id", "content", "n", F.lit(None).cast("bigint").alias("component"))), "linked")
+    some = rows.where("name is not null").join(scratch.stage(of_names, "of-names"), "name").select("doc_id", "content", "n", "component", "least", "rows")
+    none = F.lit(None).cast("bigint")
+    alone = rows.where("name is null").select("doc_id", "content", "n", none.alias("component"), F.col("doc_id").alias("least"), none.alias("rows"))
+    out = scratch.stage(some.unionByName(alone), "linked")
     scratch.drop(*[name for name in scratch.paths if name != "linked"])
     return out
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: its set's size, and the smallest doc_id reachable by links."""
-    rows = linked_rows(docs, width, percent, id_col, text_col)
-    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    found = rows.where("component is not null").join(least, "component").select("doc_id", "n", "least")
-    alone = rows.where("component is null").select("doc_id", "n", F.col("doc_id").alias("least"))
-    return found.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    return linked_rows(docs, width, percent, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -651,17 +663,14 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     Only rows that may have to go are shuffled.
     """
     spark = docs.sparkSession
-    rows = linked_rows(docs, width, percent).where("component is not null")
-    own = F.struct("doc_id", "content").alias("own")
-    first = rows.groupBy("component").agg(F.min(own).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("component", "first.*")
-    scratch = Scratch(spark)
-    keep = scratch.stage(first, "keep")
     # Rows of components of several rows; whatever else has such a key by chance is told apart by the exact join.
-    key = F.xxhash64("doc_id", "content")
-    touched = scratch.stage(rows.join(keep.select("component"), "component", "left_semi").select("doc_id", "content").distinct().withColumn("stays", F.lit(False)), "touched")
-    marks = scratch.stage(touched.select("doc_id", "content").join(keep.select("doc_id", "content").distinct().withColumn("stays", F.lit(True)), ["doc_id", "content"], "left").withColumn("stays", F.coalesce("stays", F.lit(False))), "marks")
-    bloom = spark.sparkContext.broadcast(bloom_of(marks.select(key.alias("h"))))
-    scratch.forget("keep", "touched")
+    rows = linked_rows(docs, width, percent).where("rows > 1")
+    scratch = Scratch(spark)
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "content")).alias("first"))
+    keep = scratch.stage(first.select("first.*", F.lit(True).alias("stays")), "keep")
+    marks = scratch.stage(rows.select("doc_id", "content").distinct().join(keep, ["doc_id", "content"], "left").withColumn("stays", F.coalesce("stays", F.lit(False))), "marks")
+    bloom = spark.sparkContext.broadcast(bloom_of(marks.select(F.xxhash64("doc_id", "content").alias("h"))))
+    scratch.forget("keep")
     text = F.col("text").cast("string")
     keyed = docs.withColumn("__id", F.col("doc_id").cast("bigint")).withColumn("__content", text_key(text)).withColumn("__key", F.when(F.col("__id").isNotNull(), F.xxhash64("__id", "__content")))
     sure = may_be_in(keyed, "__key", bloom, False).select(*docs.columns)

@@ -30,14 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import released, small_parts
 from .units import UnitMemo
 
 SPACE = "▁"
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 #: Pairs of pieces whose stability is kept.
-PAIRS_KEPT = 400_000
-#: Units whose totals are kept, in each of two generations.
-TOTALS_KEPT = 500_000
+PAIRS_KEPT = 200_000
 
 
 def unit_pattern(pieces) -> re.Pattern:
@@ -61,6 +60,38 @@ def unit_pattern(pieces) -> re.Pattern:
     return re.compile(f"\n|{SPACE}*{letter}+|{SPACE}*(?:(?![{SPACE}\n]){other})+|{SPACE}+")
 
 
+def _piece_kinds(proto: bytes) -> Iterator[int]:
+    """The kind of each piece in a serialized model: field 1 of the model holds a piece, field 3 of a piece its kind, 1 if it is left out."""
+
+    def number(at: int) -> tuple[int, int]:
+        out = shift = 0
+        while True:
+            b = proto[at]
+            out |= (b & 127) << shift
+            at, shift = at + 1, shift + 7
+            if b < 128:
+                return out, at
+
+    def fields(at: int, end: int) -> Iterator[tuple[int, int, int]]:
+        """(field, first byte or value, end)"""
+        while at < end:
+            tag, at = number(at)
+            if tag & 7 == 2:
+                size, at = number(at)
+                yield tag >> 3, at, at + size
+                at += size
+            elif tag & 7 == 0:
+                value, at = number(at)
+                yield tag >> 3, value, at
+            else:
+                yield tag >> 3, at, at
+                at += {1: 8, 5: 4}[tag & 7]
+
+    for field, a, b in fields(0, len(proto)):
+        if field == 1:
+            yield next((value for f, value, _ in fields(a, b) if f == 3), 1)
+
+
 class PrefixCounter:
     """Exact counts for all prefixes with a byte-fallback BPE piece model."""
 
@@ -68,6 +99,7 @@ class PrefixCounter:
         import sentencepiece
 
         library = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        self._expect(library)
         normal = [i for i in range(library.get_piece_size()) if not (library.is_control(i) or library.is_unknown(i) or library.is_byte(i) or library.is_unused(i))]
         self.score = {library.id_to_piece(i): library.get_score(i) for i in normal}
         self.cut = unit_pattern(self.score).findall
@@ -75,7 +107,21 @@ class PrefixCounter:
         self.stable: dict[str, dict[str, bool]] = {}
         self.pairs = 0
         self.tables = UnitMemo(self.unit_tables)
-        self.sums = UnitMemo(lambda units: [t[-1] for t in self.unit_tables(units)], TOTALS_KEPT)
+        self.sums = UnitMemo(lambda units: [t[-1] for t in self.unit_tables(units)])
+
+    @staticmethod
+    def _expect(library) -> None:
+        """Raises where the library's settings or pieces differ from what the table is made for."""
+        ids = range(library.get_piece_size())
+        if not any(library.is_byte(i) for i in ids):
+            raise ValueError("the model has no byte fallback")
+        # A space before the text, spaces kept as they are, no character changed, no piece taken whole whatever stands beside it.
+        for text, want in (("a", " a"), ("  a  b ", "   a  b "), ("\u2460\uff21e\u0301", " \u2460\uff21e\u0301")):
+            if library.normalize(text).replace(SPACE, " ") != want:
+                raise ValueError(f"the model's normaliser turns {text!r} into {library.normalize(text)!r}")
+        spec = getattr(library, "serialized_model_proto", None)
+        if spec is not None and any(kind == 4 for kind in _piece_kinds(spec())):
+            raise ValueError("the model has pieces of the user's")
 
     def merged(self, text: str) -> list[str]:
         """Best pair first, the leftmost of equals: the rule itself, for two pieces."""
@@ -161,26 +207,21 @@ class PrefixCounter:
         return max(i for i, c in enumerate(self.table(text)) if c <= budget)
 
 
-_counters: dict[str, PrefixCounter] = {}
-
-
 def counter(model_file: str) -> PrefixCounter:
-    """One for each Python worker, kept between tasks."""
-    if model_file not in _counters:
-        _counters[model_file] = PrefixCounter(model_file)
-    return _counters[model_file]
+    """One for each task: a worker that waits for its next task holds none."""
+    return PrefixCounter(model_file)
 
 
+@released
 def _count(batches: Iterator[pa.RecordBatch], model: str, limit: int) -> Iterator[pa.RecordBatch]:
     own = counter(model)
-    for batch in batches:
-        for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-            texts = [x or "" for x in part.column(1).to_pylist()]
-            n = own.totals(texts)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(x.encode("utf-8", "surrogatepass")) for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+    for part in small_parts(batches, 1):
+        texts = [x or "" for x in part.column(1).to_pylist()]
+        n = own.totals(texts)
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), pa.array([len(x.encode("utf-8", "surrogatepass")) for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+            names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
+        )
 
 
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,16 +229,17 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(partial(_count, model=model_file, limit=limit), SCHEMA)
 
 
+@released
 def _tables(batches: Iterator[pa.RecordBatch], model: str, budgets: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     own = counter(model)
-    for batch in batches:
-        for k in range(batch.num_rows):
-            text = batch.column(1)[k].as_py() or ""
-            table = own.table(text)
-            cuts = [max(i for i, c in enumerate(table) if c <= b) for b in budgets]
-            # Stored as steps: a count is within a few of the one before it.
-            steps = [b - a for a, b in zip(table, table[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([steps], pa.list_(pa.int16())), pa.array([cuts], pa.list_(pa.int64()))], names=["doc_id", "steps", "cuts"])
+    for part in small_parts(batches, 1):
+        # Stored as steps: a count is within a few of the one before it.
+        steps, cuts = [], []
+        for text in part.column(1).to_pylist():
+            table = own.table(text or "")
+            cuts.append([max(i for i, c in enumerate(table) if c <= b) for b in budgets])
+            steps.append([b - a for a, b in zip(table, table[1:], strict=False)])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(steps, pa.list_(pa.int16())), pa.array(cuts, pa.list_(pa.int64()))], names=["doc_id", "steps", "cuts"])
 
 
 def prefix_tables(docs: DataFrame, model_file: str, budgets: tuple[int, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

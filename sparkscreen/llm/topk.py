@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_staged, staging_path
+from .shared import drop_staged, released, staging_path
 
 K, SCALE, LISTS = 5, 256.0, 4
 #: Queries of one pass, and vectors that a task scores at a time: their product times LISTS is what an array holds.
@@ -95,6 +95,7 @@ def _own(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray) -> np
     return out
 
 
+@released
 def _gather(batches: Iterator[pa.RecordBatch], block, k: int, scale: float) -> Iterator[pa.RecordBatch]:
     """Phase 1 in a task: for each query the k best lower bounds of the task's vectors."""
     held: dict[int, list[np.ndarray]] = {}
@@ -169,6 +170,7 @@ def _best(p: np.ndarray, *rest: np.ndarray, k: int) -> list[np.ndarray]:
     return [a[keep] for a in (p, own, vec, score)]
 
 
+@released
 def _resolve(batches: Iterator[pa.RecordBatch], block, cutoffs, k: int, scale: float) -> Iterator[pa.RecordBatch]:
     """Phases 2 and 3 in a task: its best entries that reach the cutoff, k a query and one more at most."""
     best: dict[int, list[np.ndarray]] = {}
