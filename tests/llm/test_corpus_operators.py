@@ -330,6 +330,20 @@ GNU General Public License for more details."""
     assert got["z/notes.txt"] == got["z/u.py"] == (None, "none", None)
 
 
+def test_licences_of_a_system(spark):
+    """Versions are told apart, unknown licences stay unknown, and a copyright line is no licence."""
+    import glob
+    import os
+
+    want = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "GPL-1": None, "LGPL-2": None, "MPL-1.1": None, "Artistic": None, "GFDL-1.3": None}
+    files = [(n, f"{n}/LICENSE-{n}", open(f, errors="replace").read()) for f in glob.glob("/usr/share/common-licenses/*") if (n := os.path.basename(f)) in want]
+    if not files:
+        pytest.skip("no licences here")
+    files += [(f"x{k}", f"src/{k}.py", "some code here\nprint(1)\nthe software is fine") for k in range(60)]
+    got = {r["name"]: r["licence"] for r in license_scan.license_scan(spark.createDataFrame(files, "name string, path string, text string")).collect()}
+    assert {n: got[n] for n, _, _ in files if n in want} == {n: want[n] for n, _, _ in files if n in want}
+
+
 def test_quality_field():
     rng = np.random.default_rng(1)
     # Forward and backward sums against all labelings.
