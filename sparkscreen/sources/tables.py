@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -19,6 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir`` or that was given to ``setCheckpointDir``; a temporary
+    one for a session in one process that has neither, and an error on a cluster."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("no shared folder for intermediate tables: set spark.checkpoint.dir")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkscreen-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
 def corpus(spark: SparkSession, *paths: str) -> DataFrame:
     """Records of JSON-lines files, with ``file`` and, for a line that can't be read, ``_corrupt``."""
     return spark.read.schema(CORPUS).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(list(paths)).withColumn("file", F.input_file_name())
