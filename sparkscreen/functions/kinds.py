@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 _KINDS = {
-    "string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "binary": T.BinaryType(), "array<string>": T.ArrayType(T.StringType()),
+    "string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "binary": T.BinaryType(), "array<string>": T.ArrayType(T.StringType()), "map<string,double>": T.MapType(T.StringType(), T.DoubleType()),
 }
 
 

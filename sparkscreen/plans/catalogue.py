@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import patterns
 from ..operators import forms, html, structure
 from ..sources.tables import table
-from . import addresses, evaluation, extras, operations, records, screening
+from . import addresses, evaluation, extras, operations, records, screening, tallies
 from .registry import QUERIES, SQL, Query
 
-MODULES = (screening, addresses, evaluation, operations, extras, records)
+MODULES = (screening, addresses, evaluation, operations, extras, records, tallies)
 
 
 def screened_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
