@@ -23,7 +23,7 @@ def sql():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: "-" if pd.api.types.is_scalar(v) and pd.isna(v) else f"{v:.6f}" if isinstance(v, float) else str(v)
+    plain = lambda v: "-" if pd.api.types.is_scalar(v) and pd.isna(v) else str(int(v)) if isinstance(v, float) and v.is_integer() else f"{v:.6f}" if isinstance(v, float) else str(v)
     return list(frame.columns), sorted(tuple(map(plain, r)) for r in frame.itertuples(index=False))
 
 
