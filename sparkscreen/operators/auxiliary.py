@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.kinds import struct
 
@@ -137,23 +140,40 @@ def blocking_error(responses: DataFrame, table: DataFrame) -> DataFrame:
     return responses.join(t, same, "left_semi")
 
 
+def _decided(active: int, depth: int):
+    """A function over Arrow batches (key, id, arrive, hold) in order that adds ``what`` and keeps the ends of one gate only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gate, ends = object(), []  # ends in order; a NaN is the largest, as in Spark
+        for batch in batches:
+            keys, ids, *times = batch.columns
+            out = []
+            for key, arrive, hold in zip(keys.to_pylist(), *(c.to_pylist() for c in times), strict=True):
+                if key != gate and (key == key or gate == gate):
+                    gate, ends = key, []
+                now = None if arrive is None else (arrive != arrive, arrive)
+                ends = [] if now is None else ends[bisect_right(ends, now) :]
+                n = len(ends)
+                out.append("served" if n < active else "queued" if n < active + depth else "refused")
+                if n < active + depth and hold is not None:
+                    begin = arrive if n < active else ends[n - active][1] if active > 0 else None
+                    if begin is not None:
+                        insort(ends, (begin + hold != begin + hold, begin + hold))
+            yield pa.RecordBatch.from_arrays([keys, ids, pa.array(out, pa.string())], ["key", "id", "what"])
+
+    return run
+
+
 def admission(log: DataFrame, key: str = "gate", active: int = 1, depth: int = 4) -> DataFrame:
     """log (gate, id, arrive, hold) of one gate each in order of arrival: served, queued or refused.
 
-    A gate is one service's bounded log; with one place at work and ``depth`` waiting, the fold keeps the ends of those admitted.
+    With ``active`` places at work and ``depth`` waiting, what a gate's task holds is the ends of those admitted, however
+    long the log is.  Each decision needs the one before, so a gate is one task's; gates go side by side.
     """
-    rows = F.array_sort(F.collect_list(F.struct("arrive", "id", "hold")))
-    start = F.struct(F.array().cast("array<double>").alias("ends"), F.array().cast("array<struct<id:bigint,what:string>>").alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        busy = F.filter(a["ends"], lambda e: e > r["arrive"])
-        n = F.size(busy)
-        what = F.when(n < active, "served").when(n < active + depth, "queued").otherwise("refused")
-        begin = F.when(n < active, r["arrive"].cast("double")).otherwise(F.get(F.array_sort(busy), n - active))
-        ends = F.when(what == "refused", busy).otherwise(F.concat(busy, F.array(begin + r["hold"])))
-        return F.struct(ends.alias("ends"), F.concat(a["out"], F.array(F.struct(r["id"].cast("bigint").alias("id"), what.alias("what")))).alias("out"))
-
-    return log.groupBy(key).agg(F.aggregate(rows, start, step, lambda a: a["out"]).alias("o")).select(key, F.explode("o").alias("o")).select(key, "o.id", "o.what")
+    rows = log.select(F.col(key).alias("key"), "id", "arrive", "hold").repartition("key").sortWithinPartitions("key", "arrive", "id", "hold")
+    plain = rows.select("key", F.col("id").cast("bigint"), F.col("arrive").cast("double"), F.col("hold").cast("double"))
+    schema = T.StructType([plain.schema["key"], plain.schema["id"], T.StructField("what", T.StringType())])
+    return plain.mapInArrow(_decided(active, depth), schema).withColumnRenamed("key", key)
 
 
 def deadline(rows: DataFrame, key: str, pos: str, cost: str, budget: float) -> DataFrame:

@@ -88,3 +88,49 @@ def test_first_lines_of_all_patterns(spark, tmp_path):
             if m:
                 want.append((i, p.name, text.count("\n", 0, m.start()) + 1))
     assert got == sorted(want) and {name for _, name, _ in want} == {p.name for p in REGISTRY}
+
+
+def gate_by_gate(log, active, depth):
+    """One gate after the other; log: (gate, id, arrive, hold)."""
+    out = {}
+    for gate in {r[0] for r in log}:
+        ends = []
+        for _, i, arrive, hold in sorted((r for r in log if r[0] == gate), key=lambda r: (r[2] is not None, r[2] or 0, r[1], r[3] is not None, r[3] or 0)):
+            busy = sorted(e for e in ends if arrive is not None and e > arrive)
+            ends, what = busy, "refused"
+            if len(busy) < active + depth:
+                what = "served" if len(busy) < active else "queued"
+                begin = arrive if what == "served" else busy[len(busy) - active]
+                ends = busy + ([begin + hold] if None not in (begin, hold) else [])
+            out[gate, i] = what
+    return out
+
+
+def test_admission_of_mixed_logs(spark):
+    from sparkscreen.operators import auxiliary as aux
+
+    rng = random.Random(11)
+    arrive = [None] * 5 + [rng.randint(0, 900) for _ in range(1500)]  # several at once
+    log = [(rng.choice(["a", "b", "c", None]), i, t, rng.choice([None, 0.0, 0.5, 7.0, 40.0])) for i, t in enumerate(arrive)] + [("late", 9000, 5, float("nan")), ("late", 9001, 6, 1.0), ("late", 9002, 7, 1.0)]
+    df = spark.createDataFrame(log, "gate string, id int, arrive int, hold double").repartition(7)
+    for active, depth in ((1, 4), (3, 2), (1, 0)):
+        got = {(r["gate"], r["id"]): r["what"] for r in aux.admission(df, "gate", active, depth).collect()}
+        plain = gate_by_gate([r for r in log if r[0] != "late"], active, depth)
+        assert {k: v for k, v in got.items() if k[0] != "late"} == plain and {*plain.values()} == ({"served", "queued", "refused"} if depth else {"served", "refused"})
+    # One place and none to wait in: who never ends lets nobody in.
+    assert [got["late", i] for i in (9000, 9001, 9002)] == ["served", "refused", "refused"]
+    assert aux.admission(df).schema.simpleString() == "struct<gate:string,id:bigint,what:string>"
+
+
+def test_admission_of_a_long_log(spark, tmp_path):
+    """A log that would not do as one row: steps must not grow with what was decided before."""
+    import time
+
+    n = 120_000
+    spark.range(n).selectExpr("id AS event_id", "CAST(10 * (id % 7) AS BIGINT) AS user_id").write.parquet(str(tmp_path / "events.parquet"))
+    began = time.time()
+    got = {(r["gate"], r["what"]): r["n"] for r in catalogue.queries()["admission_gate"](spark, str(tmp_path)).collect()}
+    took = time.time() - began
+    want = gate_by_gate([(0, i, i, float(i % 40)) for i in range(n)], 1, 4)
+    assert got == {(0, w): sum(v == w for v in want.values()) for w in {*want.values()}} and sum(got.values()) == n
+    assert took < 90
