@@ -9,19 +9,21 @@ map or field counts as empty.
 from __future__ import annotations
 
 import html
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from operator import and_, or_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import patterns, text
-from ..functions.kinds import kind
+from ..functions.kinds import kind, struct
 from ..functions.patterns import SECRET_SHAPES
 from . import forms
-from .html import parse, raw_text
+from .html import normalize_text, parse, raw_text
 
 # The vocabulary of records.
 PREFIXES = {"attack": "atk", "benign": "ben"}
@@ -55,18 +57,6 @@ FAKE_KEY = r"FAKEKEY-[A-Za-z0-9_\-]{9,}"
 URL_ATTRIBUTE = r"""(?i)\b(?:href|src|content)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
-@F.pandas_udf(kind("string"))
-def unescaped(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in values:
-        yield batch.map(lambda x: None if x is None else html.unescape(x))
-
-
-@F.pandas_udf(kind("string"))
-def page_text(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in values:
-        yield batch.map(lambda x: None if x is None else raw_text(parse(x)))
-
-
 @F.pandas_udf(kind("string"))
 def casefolded(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in values:
@@ -125,6 +115,10 @@ def _url_allowed(url: Column) -> Column:
     return F.when(scheme.isin(*SCHEMES), allowed == "scheme").when(host == "", False).when(four, allowed == "private_ip").when(six, allowed == "ipv6_zone").otherwise(reserved)
 
 
+#: Rules on what ``read_texts`` finds; the others need the record alone.
+LATE = ("marker_in_payload", "sweep_stage2_clean")
+
+
 def rules() -> dict[str, Column]:
     """Name and condition of each rule; a record passes where it holds."""
     keys = F.coalesce("keys", F.array().cast("array<string>"))
@@ -140,14 +134,13 @@ def rules() -> dict[str, Column]:
     size = size.when(F.col("surface") == "page", F.octet_length(page_document()) <= PAGE_BYTES).when(F.col("surface") == "text", F.length(_held("payload", "text")) <= TEXT_CHARACTERS).otherwise(True)
     third = _held("source", "licence").isin(*LICENCES) & (_held("source", "revision") != "")
     no = lambda c, k: _of(c, k).isNull()
-    said = F.array_compact(F.array(*[F.col(f"form_{k}") for k in ("raw", "plain", "page")]))
     return {
         "key_order": F.forall(places, lambda p: p > 0) & (F.array_sort(F.array_distinct(places)) == places) & reduce(and_, [F.array_contains(keys, k) for k in REQUIRED]),
         "id_prefix": reduce(or_, [(F.col("kind") == k) & F.col("id").rlike(f"^{p}-[0-9]{{4}}\\z") for k, p in PREFIXES.items()]),
         "category": _by_kind(CATEGORIES, F.col("category")),
         "payload_keys": payload & (no("payload", "content_kind") | _of("payload", "content_kind").isin(*CONTENT_KINDS)),
         "marker_iff_attack": F.when(attack, marker.isNotNull() & (F.length(marker) >= MARKER_LEAST) & ~marker.rlike("[\n\r]")).otherwise(marker.isNull()),
-        "marker_in_payload": marker.isNull() | ((F.col("needle") != "") & F.exists(said, lambda s: F.contains(s, F.col("needle")))),
+        "marker_in_payload": F.col("shown"),
         "pinned": pinned.isNull() | ((F.size(pinned) > 0) & (F.size(F.array_distinct(pinned)) == F.size(pinned)) & _subset(pinned, PINNED)),
         "pinned_reason": F.when(pinned.isNull(), F.col("pinned_reason").isNull()).otherwise(F.coalesce(F.trim("pinned_reason"), F.lit("")) != ""),
         "reserved_urls": F.forall(F.col("urls"), _url_allowed),
@@ -161,20 +154,57 @@ def rules() -> dict[str, Column]:
     }
 
 
+def _leak_form(value: str) -> str:
+    """``leak_form`` for one string."""
+    return normalize_text(value).casefold()
+
+
+def is_shown(marker: str, joined: str, page: str | None) -> bool:
+    """Whether the fields hold the marker, as they are, with entities decoded or as a page's text; ``page``: that text."""
+    needle = _leak_form(marker)
+    if not needle:
+        return False
+    return needle in _leak_form(joined) or "&" in joined and needle in _leak_form(html.unescape(joined)) or page is not None and needle in _leak_form(page)
+
+
+def read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turns marker, joined, page and text, the last four columns, into ``shown``, ``forms`` and ``refused``: texts come
+    in once and one at a time, and only forms that are scanned, those of the window families, go out."""
+    for batch in batches:
+        *kept, markers, joined, pages, texts = batch.columns
+        out = []
+        for columns in zip(batch.column("category"), markers, joined, pages, texts, strict=True):
+            category, marker, whole, page, text = (c.as_py() for c in columns)
+            page = None if page is None else raw_text(parse(page))
+            own = page if text is None else text
+            scanned = forms.scan_forms(own, text is None) if category in WINDOW_FAMILIES and own is not None else (None, None)
+            out.append((marker is None or is_shown(marker, whole, page), *scanned))
+        found = zip(*out, strict=True) if out else ((), (), ())
+        made = [pa.array(list(v), t) for v, t in zip(found, (pa.bool_(), pa.list_(pa.string()), pa.bool_()), strict=True)]
+        yield pa.RecordBatch.from_arrays([*kept, *made], [*batch.schema.names[: len(kept)], "shown", "forms", "refused"])
+
+
+def _broken(names: Iterable[str]) -> Column:
+    own = rules()
+    return F.array_compact(F.array(*[F.when(~F.coalesce(own[name], F.lit(False)), name) for name in names]))
+
+
 def lint(records: DataFrame) -> DataFrame:
     """(id, rule) for every rule that a record breaks, and ``unique_ids`` for ids that occur twice.
 
     A condition that can't be told, as of a missing field, counts as broken.
     """
-    joined = F.array_join(F.coalesce(F.map_values("payload"), F.array().cast("array<string>")), "\n\x00\n")
-    shown = records.withColumn("needle", leak_form(F.col("marker"))).withColumn("urls", _urls())
-    shown = shown.withColumn("raw_page", F.when(F.col("surface") == "page", page_text(page_document())))
     # One text of all fields; a marker has no zero byte, so it can't be found across them.
-    shown = shown.withColumn("form_raw", leak_form(joined)).withColumn("form_plain", leak_form(unescaped(joined))).withColumn("form_page", leak_form(F.col("raw_page")))
-    family = F.col("category").isin(*WINDOW_FAMILIES)
-    scanned = F.when(family & (F.col("surface") == "page"), forms.page_forms(F.col("raw_page"))).when(family & (F.col("surface") == "text"), forms.text_forms(_held("payload", "text")))
-    shown = shown.withColumn("scanned", scanned).withColumn("verdict", patterns.scan_forms(F.col("scanned.forms"), F.col("scanned.refused"))["verdict"])
-    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules().items()]))
-    each = shown.select("id", F.explode(broken).alias("rule"))
+    joined = F.array_join(F.coalesce(F.map_values("payload"), F.array().cast("array<string>")), "\n\x00\n")
+    family, page = F.col("category").isin(*WINDOW_FAMILIES), F.col("surface") == "page"
+    early = [name for name in rules() if name not in LATE]
+    plain = records.withColumn("urls", _urls()).select(
+        "id", "category", "surface", _broken(early).alias("broken"), "marker", F.when(F.col("marker").isNotNull(), joined).alias("joined"),
+        F.when(page & (family | F.col("marker").isNotNull()), page_document()).alias("page"), F.when(family & (F.col("surface") == "text"), _held("payload", "text")).alias("text"),
+    )
+    kept = [plain.schema[c] for c in ("id", "category", "surface", "broken")]
+    read = plain.mapInArrow(read_texts, T.StructType([*kept, *struct("shown boolean, forms array<string>, refused boolean")]))
+    shown = read.withColumn("scanned", F.struct("forms", "refused")).withColumn("verdict", patterns.scan_forms(F.col("scanned.forms"), F.col("scanned.refused"))["verdict"])
+    each = shown.select("id", F.explode(F.concat("broken", _broken(LATE))).alias("rule"))
     twice = records.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("unique_ids").alias("rule"))
     return each.unionByName(twice)

@@ -134,3 +134,61 @@ def test_admission_of_a_long_log(spark, tmp_path):
     want = gate_by_gate([(0, i, i, float(i % 40)) for i in range(n)], 1, 4)
     assert got == {(0, w): sum(v == w for v in want.values()) for w in {*want.values()}} and sum(got.values()) == n
     assert took < 90
+
+
+RECORD = "id string, kind string, category string, surface string, payload map<string,string>, marker string, pinned array<string>, pinned_reason string, source map<string,string>, lang string, params map<string,string>, notes string, keys array<string>"
+
+
+def record(i, category, surface, payload, marker):
+    kind = "benign" if marker is None else "attack"
+    return (f"{'atk' if marker else 'ben'}-{i:04d}", kind, category, surface, payload, marker, None, None, {"kind": "synthetic"}, "en", None, None, ["id", "kind", "category", "surface", "payload", "source", "lang"])
+
+
+def odd_records():
+    """Records, and which of the two rules on texts each breaks."""
+    page = lambda body, title="t": {"url": "https://a.example/", "title": title, "head_html": "", "body_html": body}
+    text = lambda t: {"filename": "a.txt", "text": t}
+    mark, sweep = "marker_in_payload", "sweep_stage2_clean"
+    rows = [
+        ("news", "text", text("nothing"), None, set()), ("natural_language", "text", text("x THE  whole\tMarker y"), "the whole marker", set()),
+        ("natural_language", "text", text("the whole &amp; marker"), "the whole & marker", set()), ("natural_language", "text", text("the whole &amp;amp; marker"), "the whole & marker", {mark}),
+        ("natural_language", "text", text("STRASSE of the marker, café"), "straße of the marker, café", set()), ("natural_language", "text", text("the whole ma​rker"), "the whole marker", set()),
+        ("natural_language", "text", {"filename": "the whole", "text": "marker"}, "the whole marker", {mark}), ("natural_language", "text", text("anything at all"), "​" * 12, {mark}),
+        ("natural_language", "text", None, "the whole marker", {mark}), ("natural_language", "text", {"filename": None, "text": None}, "the whole marker", {mark}), ("natural_language", None, text("the whole marker"), "the whole marker", set()),
+        ("natural_language", "page", page("<p>the <b>whole</b></p>marker"), "the <b>whole", set()), ("natural_language", "page", page("<p>the whole m&#97;rker</p>"), "the whole marker", set()),
+        ("natural_language", "page", page("<p>the <b>whole</b> marker</p>"), "the whole marker", {mark}), ("natural_language", "page", page("x", "the whole & marker"), "the whole & marker", set()),
+        ("natural_language", "search", {"title": "t", "url": "https://a.example/", "content": "the whole marker"}, "the whole marker", set()),
+        (None, "page", page("the whole marker"), "the whole marker", {sweep}), (None, "text", text("the whole marker"), None, {sweep}), ("news", "page", page("rot13"), None, set()),
+        ("boundary_straddle", "text", text("the whole marker"), "the whole marker", set()), ("boundary_straddle", "text", text("the whole marker [SYSTEM]"), "the whole marker", {sweep}),
+        ("boundary_straddle", "text", text("the whole marker &amp;#91;SYSTEM]"), "the whole marker", {sweep}), ("density_thinned", "text", text("the whole marker " + "ﷺ" * 300), "the whole marker", {sweep}),
+        ("density_thinned", "page", page("the whole marker"), "the whole marker", set()), ("density_thinned", "page", page("the whole marker <p>ignore previous</p>"), "the whole marker", {sweep}),
+        ("density_thinned", "page", page("no mark"), None, set()), ("density_thinned", "page", page("rot13"), None, {sweep}), ("density_thinned", "text", {"filename": "x"}, None, set()),
+        ("density_thinned", "search", {"content": "the whole marker"}, "the whole marker", {sweep}), ("density_thinned", None, text("the whole marker"), "the whole marker", {sweep}),
+    ]
+    return [(record(i, *row[:4]), row[4]) for i, row in enumerate(rows)]
+
+
+def test_lint_of_texts_in_markers_and_forms(spark):
+    from sparkscreen.operators import records
+
+    rows = odd_records()
+    df = spark.createDataFrame([r for r, _ in rows], RECORD).repartition(3)
+    got = {(r["id"], r["rule"]) for r in records.lint(df).collect() if r["rule"] in records.LATE}
+    assert got == {(r[0], rule) for r, broken in rows for rule in broken}
+
+
+def test_lint_hands_no_text_on(spark):
+    """Each text goes to Python once, and neither it nor forms of it that nothing scans come back."""
+    from sparkscreen.operators import records
+
+    long = "word & more " * 8000
+    df = spark.createDataFrame([record(i, "natural_language", "text", {"filename": "a", "text": long}, "word & more word") for i in range(40)], RECORD)
+    linted = records.lint(df)
+    plan = linted._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") <= 2
+    assert "marker_in_payload" not in {r["rule"] for r in linted.collect()}
+    batch = [[c] for c in ("a", "b", "c", ["d"], "word & more word", long, None, None)]
+    import pyarrow as pa
+
+    (back,) = records.read_texts(iter([pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.string()) if isinstance(c[0], list) else pa.string()) for c in batch], ["id", "category", "surface", "broken", "marker", "joined", "page", "text"])]))
+    assert back.nbytes < 1000 and back.num_rows == 1 and back.column("shown")[0].as_py() and back.column("forms")[0].as_py() is None
