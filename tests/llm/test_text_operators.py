@@ -53,6 +53,32 @@ def test_bpe_automaton_equals_library(spark, texts):
     assert full[9][0]["ids"] == library.encode(texts[9], add_special_tokens=False).ids
 
 
+def test_words_go_through_the_automaton_side_by_side(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    rng = random.Random(11)
+    # Around the length from which words go alone, of one letter, of bytes that no label joins, capitals that fold by context or grow.
+    words = ["a" * n for n in (1, 2, 63, 64, 65, 130)] + ["é" * n for n in (31, 32, 33)] + ["漢\U0001f600", "ΑΣ", "ΣΑΣ", "İX", "A\u030a", "'s", "x's", "12", "!?&", "\x1c", "\x00"]
+    words += ["".join(rng.choice(["th", "er", "tion", "Éa", "ß", "q", "7", ",", "'re"]) for _ in range(rng.randint(1, 24))) for _ in range(3000)]
+    texts = [" ".join(words), "<|endoftext|>".join(words[:400]), *words[:200]]
+    # Repeated words, and few places for arcs, so that arcs take each other's.
+    monkeypatch.setattr(bpe_automaton, "ARC_PLACES", 1 << 6)
+    own = bpe_automaton.WordBpe(path)
+    alone, has_arc = [], own.automaton.has_arc
+    monkeypatch.setattr(own.automaton, "has_arc", lambda x, y: alone.append(1) or has_arc(x, y))
+    for _ in range(2):
+        for text, (n, ids, decoded) in zip(texts, own.encode_joined(texts), strict=True):
+            expected = library.encode(text, add_special_tokens=False).ids
+            assert n == len(expected) and ids == " ".join(map(str, expected)) and decoded == library.decode(expected, skip_special_tokens=False)
+    # Only the arcs of the long words are asked for one by one.
+    assert 0 < len(alone) < 3000
+    states, labels = (np.array([rng.randrange(49406) for _ in range(4000)]) for _ in range(2))
+    assert own.automaton.have_arcs(states, labels).tolist() == [has_arc(int(x), int(y)) for x, y in zip(states, labels, strict=True)]
+
+
 def test_automaton_accepts_exactly_the_tokenization():
     # a+b, then ab+a, then a+a: every word over {a, b} by all paths that the automaton accepts.
     vocab = {"a": 0, "b": 1, "ab": 2, "aba": 3, "aa": 4}
