@@ -55,6 +55,8 @@ SHARD_TOKENS, TRAIN_TASKS = 1 << 20, 4096
 BUFFER = 1 << 20
 #: Entries of a task's word counts before they are sent.
 COUNTS_HELD = 3_000_000
+#: Logits that can't reach this are put into exp() as they are, without the largest of each row being taken off; float32 ends at 88.
+EXPONENT = 80.0
 #: Weights are summed as integers of this unit, so that the order of a sum changes nothing.
 UNIT = float(1 << 24)
 END_HASH = np.uint64(0x9D5C1E6A7B3F2481)
@@ -98,7 +100,8 @@ class Model:
         order = np.argsort(-counts, kind="stable")
         place = np.empty(self.n, np.int64)
         place[order] = np.arange(self.n)
-        self.class_of, self.in_class = place // self.width, place % self.width
+        # Numbers of 16 bits are sorted by counting.
+        self.class_of, self.in_class = (place // self.width).astype(np.int16 if self.classes < 1 << 15 else np.int64), place % self.width
         h, c, k = size, self.classes, self.width
         self.shapes = {"emb": (self.n, h), "wx": (h, 3 * h), "b": (3 * h,), "wh": (h, 3 * h), "cw": (h, c), "cb": (c,), "tw": (c, h, k), "tb": (c, k)}
         self.flat = np.zeros(sum(int(np.prod(s)) for s in self.shapes.values()), np.float32)
@@ -122,91 +125,117 @@ class Model:
             at += n
         return out
 
-    def step(self, table: np.ndarray, x: np.ndarray, h: np.ndarray):
+    def step(self, table: tuple[np.ndarray, np.ndarray], x: np.ndarray, h: np.ndarray):
         """One step for lanes: new state and what going back needs."""
+        gates, wh = table
+        gx, gh = gates.take(x, 1), np.matmul(h, wh)
+        zr = gx[:2]
+        zr += gh[:2]
+        np.tanh(zr, out=zr)
+        zr *= np.float32(0.5)
+        zr += np.float32(0.5)
+        z, r, gn = zr[0], zr[1], gh[2]
+        n = r * gn
+        n += gx[2]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, gn
+
+    def inputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """What a token and what the state add to the gates, gate by gate; those of the first two come halved, as ``step`` needs them."""
         s = self.size
-        gx, gh = table[x], h @ self.w["wh"]
-        zr = np.float32(0.5) + np.float32(0.5) * np.tanh(np.float32(0.5) * (gx[:, : 2 * s] + gh[:, : 2 * s]))
-        z, r = zr[:, :s], zr[:, s:]
-        n = np.tanh(gx[:, 2 * s :] + r * gh[:, 2 * s :])
-        return n + z * (h - n), z, r, n, gh[:, 2 * s :]
-
-    def inputs(self) -> np.ndarray:
-        return (self.w["emb"] @ self.w["wx"] + self.w["b"]).astype(np.float32)
+        table = (self.w["emb"] @ self.w["wx"] + self.w["b"]).astype(np.float32)
+        gates, wh = (np.ascontiguousarray(t.reshape(-1, 3, s).transpose(1, 0, 2)) for t in (table, self.w["wh"]))
+        for t in (gates, wh):
+            t[:2] *= np.float32(0.5)
+        return gates, wh
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None, scale: float | np.ndarray = 1.0):
         """Natural log-probability of targets; with ``grads``, adds gradients of the loss, each target's
         times its ``scale``, and returns that of h too."""
-        rows = np.arange(len(y))
-        scale = np.broadcast_to(np.float32(scale), (len(y),))[:, None]
+        rows, s = np.arange(len(y)), self.size
         cls = self.class_of[y]
-        a = h @ self.w["cw"] + self.w["cb"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        total = e.sum(1)
-        out = a[rows, cls] - np.log(total)
-        dh = None
-        if grads is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            d *= scale
-            grads["cw"] += h.T @ d
-            grads["cb"] += d.sum(0)
-            dh = d @ self.w["cw"].T
+        # Rows by class, so that each class has a slice; a last column of ones takes the biases along.
         order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            at = order[edge[c] : edge[c + 1]]
-            if not len(at):
-                continue
-            hc, k = h[at], self.in_class[y[at]]
-            a = hc @ self.w["tw"][c] + self.w["tb"][c]
-            a -= a.max(1, keepdims=True)
-            e = np.exp(a)
-            total = e.sum(1)
-            own = np.arange(len(at))
-            out[at] += a[own, k] - np.log(total)
-            if grads is not None:
-                d = e / total[:, None]
-                d[own, k] -= 1
-                d *= scale[at]
-                grads["tw"][c] += hc.T @ d
-                grads["tb"][c] += d.sum(0)
-                dh[at] += d @ self.w["tw"][c].T
-        return (out, dh) if grads is not None else out
+        cls, k = cls[order], self.in_class[y[order]]
+        edge = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        slices = [(c, slice(i, j)) for c, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if i < j]
+        hs = np.ones((len(y), s + 1), np.float32)
+        hs[:, :s] = h[order]
+        cw, tw = np.concatenate([self.w["cw"], self.w["cb"][None]]), np.concatenate([self.w["tw"], self.w["tb"][:, None]], 1)
+        a, e = hs @ cw, np.empty((len(y), self.width), np.float32)
+        for c, at in slices:
+            np.matmul(hs[at], tw[c], out=e[at])
+        most = max(1.0, float(np.abs(h).max(initial=0))) * max(float(np.abs(w).sum(-2).max()) for w in (cw, tw))
+        out, totals = np.zeros(len(y), np.float32), []
+        for v, own in ((a, cls), (e, k)):
+            if not most < EXPONENT:
+                v -= v.max(1, keepdims=True)
+            out += v[rows, own]
+            np.exp(v, out=v)
+            totals.append(v @ np.ones(v.shape[1], np.float32))
+            out -= np.log(totals[-1])
+        given = np.empty_like(out)
+        given[order] = out
+        if grads is None:
+            return given
+        scale = np.broadcast_to(np.float32(scale), (len(y),))[order]
+        for v, own, total in zip((a, e), (cls, k), totals, strict=True):
+            v *= (scale / total)[:, None]
+            v[rows, own] -= scale
+        d = hs.T @ a
+        grads["cw"] += d[:s]
+        grads["cb"] += d[s]
+        back = a @ self.w["cw"].T
+        for c, at in slices:
+            d = hs[at].T @ e[at]
+            grads["tw"][c] += d[:s]
+            grads["tb"][c] += d[s]
+            back[at] += e[at] @ self.w["tw"][c].T
+        dh = np.empty_like(back)
+        dh[order] = back
+        return given, dh
 
     def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, grads: dict, end: int, counts: np.ndarray | None = None):
         """Truncated back-propagation over x, y [steps, lanes]; adds gradients, gives the last state and the loss.
         Targets where ``counts`` is false are padding."""
         t, lanes = x.shape
         table, s = self.inputs(), self.size
-        kept, states = [], []
+        kept = []
+        before, states = (np.empty((t, lanes, s), np.float32) for _ in range(2))
         for k in range(t):
-            h = np.where((x[k] == end)[:, None], np.float32(0), h)
-            kept.append((h, *self.step(table, x[k], h)))
-            h = kept[-1][1]
-            states.append(h)
+            before[k] = h
+            before[k][x[k] == end] = 0
+            h, *rest = self.step(table, x[k], before[k])
+            states[k] = h
+            kept.append(rest)
         real = np.ones(t * lanes, np.float32) if counts is None else counts.reshape(-1).astype(np.float32)
         scale = real / max(1.0, float(real.sum()))
-        logp, dh_out = self.log_probs(np.concatenate(states), y.reshape(-1), grads, scale)
+        logp, dh_out = self.log_probs(states.reshape(-1, s), y.reshape(-1), grads, scale)
         dh_out = dh_out.reshape(t, lanes, s)
-        came = np.empty((t, lanes, 3 * s), np.float32)
+        came, back = (np.empty((t, lanes, 3 * s), np.float32) for _ in range(2))
         carry = np.zeros((lanes, s), np.float32)
+        wh = np.ascontiguousarray(self.w["wh"].T)
         for k in range(t - 1, -1, -1):
-            before, _, z, r, n, gn = kept[k]
+            z, r, n, gn = kept[k]
             d = dh_out[k] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            gh = np.concatenate([dz, dr, dn * r], 1)
-            came[k, :, : 2 * s], came[k, :, 2 * s :] = gh[:, : 2 * s], dn
-            grads["wh"] += before.T @ gh
-            carry = d * z + gh @ self.w["wh"].T
+            dz = d * (1 - z)
+            dn = dz * (1 - n * n)
+            dz *= before[k] - n
+            dz *= z
+            came[k, :, :s], came[k, :, 2 * s :] = dz, dn
+            came[k, :, s : 2 * s] = dn * gn * r * (1 - r)
+            back[k], back[k, :, 2 * s :] = came[k], dn * r
+            carry = back[k] @ wh
+            carry += d * z
             carry[x[k] == end] = 0
+        grads["wh"] += before.reshape(-1, s).T @ back.reshape(-1, 3 * s)
         flat = x.reshape(-1)
         order = np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
-        dtable = np.zeros_like(table)
+        dtable = np.zeros((self.n, 3 * s), np.float32)
         dtable[flat[order[first]]] = np.add.reduceat(came.reshape(-1, 3 * s)[order], first, axis=0)
         grads["wx"] += self.w["emb"].T @ dtable
         grads["b"] += dtable.sum(0)
@@ -267,13 +296,16 @@ class Model:
         states, targets, owners, waiting = [], [], [], 0
         for k in range(steps):
             n = int(active[k])
-            now = np.where((x[k, :n] == end)[:, None], np.float32(0), h[:n])
+            now, begun = h[:n], np.flatnonzero(x[k, :n] == end)
+            if len(begun):
+                now = now.copy()
+                now[begun] = 0
             h = self.step(table, x[k, :n], now)[0]
             states.append(h)
             targets.append(y[k, :n])
             owners.append(doc[k, :n])
             waiting += n
-            if waiting >= 1 << 15 or k == steps - 1:
+            if waiting >= 1 << 13 or k == steps - 1:
                 logp = self.log_probs(np.concatenate(states), np.concatenate(targets))
                 out += np.bincount(np.concatenate(owners), weights=logp, minlength=len(texts))
                 states, targets, owners, waiting = [], [], [], 0
